@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from cuefold.llm.lookalike import alike_readings, folding, tables, translation, with_canonical
 from cuefold.llm.nearest import nearest_in_time
+from cuefold.llm.mixture import mix_sources
 from cuefold.llm.runs import collapse_runs
+from cuefold.llm.split import split_oversized
+from cuefold.llm.tokens import TOKEN, token_count
 from cuefold.session import millis, table
 
 TOLERANCE_MS = 250
@@ -68,9 +71,40 @@ def p4_runs(spark, sf):
     )
 
 
+def _mixture(spark, sf):
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_target"), "doc_id", "source", token_count(F.col("text")))
+
+
+def p7_found(spark, sf):
+    return _mixture(spark, sf)[1].where("falls_short").select("source")
+
+
+def p7_report(spark, sf):
+    """Per source the wanted and the really reached share of the tokens of the mixture."""
+    return _mixture(spark, sf)[1]
+
+
+def p7_uses(spark, sf):
+    """How often each document of a wanted source is used."""
+    return _mixture(spark, sf)[0].withColumnRenamed("ident", "doc_id")
+
+
+LIMIT, OVERLAP = 512, 64
+
+
+def p8_pieces(spark, sf):
+    """The ordered pieces of each oversized document."""
+    return split_oversized(table(spark, sf, "documents"), "doc_id", "text", LIMIT, OVERLAP)
+
+
+def p8_found(spark, sf):
+    return p8_pieces(spark, sf).where("piece = 0").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_canonical": p3_canonical,
     "p4_found": p4_found, "p4_runs": p4_runs,
+    "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses, "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 
 
@@ -113,6 +147,7 @@ g as (select *, sum(br) over (partition by file order by ord) grp from k),
 r as (select file, min(ord) first_ord, max(ord) last_ord, count(*) cues, max(e) - min(s) duration_ms, arg_min(text, ord) as text
       from g where fold is not null group by file, grp)
 """
+_TOKENS = f"len(regexp_extract_all(text, '{TOKEN}'))"
 
 ORACLE = {
     "p1_found": _P1 + "select ref_cue_id, cand_cue_id from j",
@@ -129,4 +164,10 @@ c as (select m, arg_min(text, row(length(regexp_replace(text, '[\\x20-\\x7E\\n]'
 select text, canonical from m join c using (m)""",
     "p4_found": _P4 + "select file, first_ord, last_ord from r where cues >= 2",
     "p4_runs": _P4 + "select * from r",
+    "p7_found": f"""
+with d as (select source, {_TOKENS} n from documents where source is not null),
+t as (select sum(n) total from d), s as (select source, sum(n) n from d group by source)
+select m.source from mix_target m left join s on m.source = s.source, t
+where m.max_uses * coalesce(s.n, 0) < m.weight * t.total""",
+    "p8_found": f"select doc_id from documents where {_TOKENS} > {LIMIT}",
 }
