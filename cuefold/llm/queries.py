@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuefold.llm.language import fit_profiles, label_cases, language_of_code, language_shares, segment_languages
 from cuefold.llm.lookalike import alike_readings, folding, tables, translation, with_canonical
 from cuefold.llm.nearest import nearest_in_time
 from cuefold.llm.mixture import mix_sources
@@ -43,6 +44,47 @@ def p1_pairs(spark, sf):
     )
 
 
+TRACK = ["file", "track_id"]
+LEAST_SHARE = 0.2
+
+
+def _track_profiles(spark, sf):
+    labels = table(spark, sf, "track").select(*TRACK, language_of_code(F.col("language_code")).alias("label")).distinct()
+    lines = table(spark, sf, "ocr_result").select(*TRACK, "text").where("text is not null")
+    return fit_profiles(lines.join(labels, TRACK), "text", "label")
+
+
+def _track_segments(spark, sf):
+    return segment_languages(table(spark, sf, "ocr_result"), [*TRACK, "ord", "ocr_id"], "text", _track_profiles(spark, sf))
+
+
+def p2_tracks(spark, sf):
+    """The languages of each track with their share of its lines and a confidence."""
+    return language_shares(_track_segments(spark, sf), TRACK, "ocr_id", LEAST_SHARE)
+
+
+def p2_found(spark, sf):
+    return label_cases(table(spark, sf, "track"), TRACK, "language_code", p2_tracks(spark, sf))
+
+
+def p2_segments(spark, sf):
+    """The stretches of one language in each reading."""
+    return (
+        _track_segments(spark, sf).select(*TRACK, "ord", "ocr_id", F.explode("segments").alias("s")).distinct()
+        .select(*TRACK, "ord", "ocr_id", F.col("s.first").alias("first_line"), F.col("s.last").alias("last_line"), "s.language", "s.confidence")
+    )
+
+
+def p2_documents(spark, sf):
+    """The stretches of one language in each document, by sentence."""
+    docs = table(spark, sf, "documents")
+    return (
+        segment_languages(docs, ["doc_id"], "text", _track_profiles(spark, sf), unit="sentence")
+        .select("doc_id", F.posexplode("segments").alias("segment", "s"))
+        .select("doc_id", "segment", F.col("s.units").alias("sentences"), "s.language", "s.confidence")
+    )
+
+
 def p3_found(spark, sf):
     return alike_readings(table(spark, sf, "ocr_result"), IMAGE, "ocr_id", "text").withColumnsRenamed({"a": "ocr_id_a", "b": "ocr_id_b"})
 
@@ -102,7 +144,8 @@ def p8_found(spark, sf):
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_canonical": p3_canonical,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_tracks": p2_tracks, "p2_segments": p2_segments,
+    "p2_documents": p2_documents, "p3_found": p3_found, "p3_canonical": p3_canonical,
     "p4_found": p4_found, "p4_runs": p4_runs,
     "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses, "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
