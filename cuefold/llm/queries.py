@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuefold.llm.language import fit_profiles, label_cases, language_of_code, language_shares, segment_languages
+from cuefold.llm.leaks import find_leaks
 from cuefold.llm.lookalike import alike_readings, folding, tables, translation, with_canonical
 from cuefold.llm.nearest import nearest_in_time
 from cuefold.llm.mixture import mix_sources
@@ -113,6 +114,20 @@ def p4_runs(spark, sf):
     )
 
 
+def p6_leaks(spark, sf):
+    """Tainted documents with the items they contain: whole runs of words, or reworded ones."""
+    leaks = find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_item"), "doc_id", "text", "item_id", "text")
+    return (
+        leaks.withColumn("kind", F.when(F.col("run_words") > 0, "run").when(F.col("kept") >= 0.6, "reworded"))
+        .where("kind is not null")
+        .select(F.col("item").alias("item_id"), F.col("ident").alias("doc_id"), "kind", "run_words", "kept", "cosine")
+    )
+
+
+def p6_found(spark, sf):
+    return p6_leaks(spark, sf).where("kind = 'run'").select("item_id", "doc_id")
+
+
 def _mixture(spark, sf):
     return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_target"), "doc_id", "source", token_count(F.col("text")))
 
@@ -147,6 +162,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_tracks": p2_tracks, "p2_segments": p2_segments,
     "p2_documents": p2_documents, "p3_found": p3_found, "p3_canonical": p3_canonical,
     "p4_found": p4_found, "p4_runs": p4_runs,
+    "p6_found": p6_found, "p6_leaks": p6_leaks,
     "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses, "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 
