@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuefold.functions.binding import let
+
 #: White space of all scripts and the byte order mark.
 WS = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
@@ -35,11 +37,11 @@ def decode_entities(text: Column) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """Drop tags except bare i, b and u, which come out in lower case."""
-    kept = F.zip_with(
-        F.split(text, TAG, -1), F.regexp_extract_all(text, F.lit(TAG), F.lit(0)),
+    kept = lambda t: F.zip_with(
+        F.split(t, TAG, -1), F.regexp_extract_all(t, F.lit(TAG), F.lit(0)),
         lambda part, tag: F.concat(part, F.when(tag.rlike(r"(?i)\A</?[ibu]>\z"), F.lower(tag)).otherwise(F.lit(""))),
     )
-    return F.when(F.contains(text, F.lit("<")), F.array_join(kept, "")).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("<")), F.array_join(kept(t), "")).otherwise(t))
 
 
 def clean_subtitle_text(text: Column) -> Column:
@@ -116,10 +118,11 @@ COMMON_WORDS = (
 def token_score(token: Column, words: list[str] = COMMON_WORDS) -> Column:
     """Common word 1, number 0.75, plain word 0.5, anything else 0, nothing left null."""
     bare = chain(F.lower(token), [(r"^[^a-z0-9']+", ""), (r"'+\z", ""), (r"[^a-z0-9']+\z", "")])
-    return (
-        F.when(bare == "", F.lit(None).cast("double")).when(bare.isin(words), F.lit(1.0))
-        .when(bare.rlike(r"^[0-9]+(?:[.,:][0-9]+)*\z"), F.lit(0.75))
-        .when(bare.rlike(r"^[a-z]+(?:'[a-z]+)?\z"), F.lit(0.5)).otherwise(F.lit(0.0))
+    return let(
+        bare,
+        lambda w: F.when(w == "", F.lit(None).cast("double")).when(w.isin(words), F.lit(1.0))
+        .when(w.rlike(r"^[0-9]+(?:[.,:][0-9]+)*\z"), F.lit(0.75))
+        .when(w.rlike(r"^[a-z]+(?:'[a-z]+)?\z"), F.lit(0.5)).otherwise(F.lit(0.0)),
     )
 
 
@@ -129,7 +132,7 @@ def text_health(text: Column, words: list[str] = COMMON_WORDS) -> Column:
         F.transform(F.split(F.coalesce(text, F.lit("")), rf"{WS}+", -1), lambda x: token_score(x, words)), lambda x: x.isNotNull()
     )
     # Scores are multiples of 0.25, so their sum is exact in any order.
-    return F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
+    return let(scores, lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s)))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuefold.functions.binding import let
 from cuefold.functions.text import strip
 
 DEFAULT_FPS = 23.976
@@ -45,14 +46,17 @@ def srt_time(seconds: Column) -> Column:
     """``HH:MM:SS,mmm``; negative, null and NaN times are zero, hours may have more digits."""
     known = F.when(seconds.isNull() | F.isnan(seconds), F.lit(0.0)).otherwise(seconds.cast("double"))
     ms = F.greatest(F.lit(0).cast("long"), round_half_up(known * 1000))
-    part = lambda unit, wrap: F.floor(ms / unit) % wrap if wrap else F.floor(ms / unit)
-    return F.format_string("%02d:%02d:%02d,%03d", part(3_600_000, 0), part(60_000, 60), part(1000, 60), ms % 1000)
+    return let(
+        ms,
+        lambda m: F.format_string(
+            "%02d:%02d:%02d,%03d", F.floor(m / 3_600_000), F.floor(m / 60_000) % 60, F.floor(m / 1000) % 60, m % 1000
+        ),
+    )
 
 
 def parse_timecode(text: Column) -> Column:
     """Seconds of ``[H:]M:SS[,fff]`` with any number of hour digits, else null."""
-    t = strip(text)
-    return F.when(t.rlike(TIMECODE), _clock(t, TIMECODE))
+    return let(strip(text), lambda t: F.when(t.rlike(TIMECODE), _clock(t, TIMECODE)))
 
 
 def require_timecode(text: Column, context: str) -> Column:
@@ -80,7 +84,10 @@ def parse_fps(text: Column) -> Column:
 
 def ttml_time(text: Column, fps: Column) -> Column:
     """Seconds of a frame, clock or offset time or of bare seconds, else null."""
-    t = strip(F.coalesce(text, F.lit("")))
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: _ttml_seconds(t, fps))
+
+
+def _ttml_seconds(t: Column, fps: Column) -> Column:
     amount, unit = _number(_group(t, OFFSET_TIME, 1)), F.lower(_group(t, OFFSET_TIME, 2))
     frames = (
         _number(_group(t, FRAME_TIME, 1)) * 3600 + _number(_group(t, FRAME_TIME, 2)) * 60

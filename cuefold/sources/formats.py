@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuefold.functions.binding import let
 from cuefold.functions.text import clean_subtitle_text, decode_entities, strip
 from cuefold.functions.timecode import DEFAULT_FPS, parse_srt_time, parse_timecode, ttml_time
 
@@ -82,13 +83,21 @@ def _before(marks: Column, at: Column) -> Column:
 def ass(raw: Column) -> Column:
     """Dialogue lines by the fields of the last Format line before them."""
     lines = F.transform(F.split(_no_cr(raw), "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    formats = F.transform(
+    kept = F.filter(lines, lambda x: x["line"].rlike("(?i)^(Format|Dialogue):"))
+    return let(kept, lambda own: let(_ass_formats(own), lambda formats: _ass_cues(own, formats)))
+
+
+def _ass_formats(lines: Column) -> Column:
+    return F.transform(
         F.filter(lines, lambda x: x["line"].rlike("(?i)^Format:")),
         lambda x: F.struct(
             x["at"].alias("at"),
             F.transform(F.split(F.regexp_replace(x["line"], r"(?i)^Format:\s*", ""), ",", -1), lambda f: F.lower(strip(f))).alias("fields"),
         ),
     )
+
+
+def _ass_cues(lines: Column, formats: Column) -> Column:
     default = F.array(*[F.lit(f) for f in ASS_FIELDS])
     spoken = F.transform(
         F.filter(lines, lambda x: x["line"].rlike("(?i)^Dialogue:")),
@@ -129,13 +138,18 @@ def _numbered(raw: Column, pattern: str) -> Column:
 
 def microdvd(raw: Column, fps: Column) -> Column:
     """Frame numbers; a line ``{1}{1}rate`` sets the rate of the lines after it."""
-    lines = _numbered(raw, r"^\{([0-9]+)\}\{([0-9]+)\}(.*)\z")
     is_rate = lambda x: (x["a"] == 1) & (x["b"] == 1) & x["text"].rlike(r"^[0-9]+(?:\.[0-9]+)?\z")
-    rates = F.transform(F.filter(lines, is_rate), lambda x: F.struct(x["at"].alias("at"), x["text"].try_cast("double").alias("fps")))
-    return F.transform(
-        F.filter(lines, lambda x: ~is_rate(x)),
-        lambda x: _cue(x["a"] / F.coalesce(_before(rates, x["at"])["fps"], fps), x["b"] / F.coalesce(_before(rates, x["at"])["fps"], fps), x["text"]),
-    )
+    rates = lambda lines: F.transform(F.filter(lines, is_rate), lambda x: F.struct(x["at"].alias("at"), x["text"].try_cast("double").alias("fps")))
+
+    def timed(lines: Column, marks: Column) -> Column:
+        own = F.transform(
+            F.filter(lines, lambda x: ~is_rate(x)),
+            lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["text"].alias("text"), F.coalesce(_before(marks, x["at"])["fps"], fps).alias("fps")),
+        )
+        return F.transform(own, lambda x: _cue(x["a"] / x["fps"], x["b"] / x["fps"], x["text"]))
+
+    lines = _numbered(raw, r"^\{([0-9]+)\}\{([0-9]+)\}(.*)\z")
+    return let(lines, lambda own: let(rates(own), lambda marks: timed(own, marks)))
 
 
 def mpl2(raw: Column) -> Column:
@@ -168,7 +182,10 @@ def ttml_frame_rate(raw: Column, fps: Column) -> Column:
 def ttml(raw: Column, fps: Column) -> Column:
     """Paragraphs with a readable begin, an end or duration, and a text."""
     text = F.regexp_replace(_no_cr(raw), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    rate = ttml_frame_rate(text, fps)
+    return let(text, lambda t: let(ttml_frame_rate(t, fps), lambda rate: _ttml_cues(t, rate)))
+
+
+def _ttml_cues(text: Column, rate: Column) -> Column:
     found = F.transform(
         F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0)),
         lambda p: F.struct(F.regexp_extract(p, _PARAGRAPH, 1).alias("attributes"), clean_subtitle_text(F.regexp_extract(p, _PARAGRAPH, 2)).alias("text")),
@@ -193,9 +210,12 @@ def sami(raw: Column) -> Column:
     """Each sync lasts to the next one; empty ones only end the one before."""
     starts = F.transform(F.regexp_extract_all(raw, F.lit(_SYNC), F.lit(1)), lambda x: x.cast("double") / 1000)
     bodies = F.slice(F.split(raw, _SYNC, -1), 2, 2_147_483_646)
-    both = F.zip_with(starts, bodies, lambda s, t: F.struct(s.alias("start"), clean_subtitle_text(t).alias("text")))
-    cues = F.transform(both, lambda x, i: _cue(x["start"], F.coalesce(F.get(starts, i + 1), x["start"] + SAMI_LAST), x["text"]))
-    return F.filter(cues, lambda c: c["text"] != "")
+
+    def timed(at: Column) -> Column:
+        both = F.zip_with(at, bodies, lambda s, t: F.struct(s.alias("start"), clean_subtitle_text(t).alias("text")))
+        return F.transform(both, lambda x, i: _cue(x["start"], F.coalesce(F.get(at, i + 1), x["start"] + SAMI_LAST), x["text"]))
+
+    return F.filter(let(starts, timed), lambda c: c["text"] != "")
 
 
 _STAMPED = r"(?m)^\s*(?:\[{1,2}|\()([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[,.][0-9]{1,3})?)(?:\]{1,2}|\))\s*(.+)$"
@@ -205,13 +225,15 @@ def transcript(raw: Column) -> Column:
     """Stamped lines up to the next stamp; without any stamp, lines at even distances."""
     stamps = F.transform(F.regexp_extract_all(raw, F.lit(_STAMPED), F.lit(1)), parse_timecode)
     texts = F.regexp_extract_all(raw, F.lit(_STAMPED), F.lit(2))
-    stamped = F.transform(
-        F.zip_with(stamps, texts, lambda s, t: F.struct(s.alias("start"), t.alias("text"))),
-        lambda x, i: _cue(x["start"], F.coalesce(F.get(stamps, i + 1), x["start"] + TRANSCRIPT_LAST), x["text"]),
-    )
     lines = F.filter(F.transform(F.split(_no_cr(raw), "\n", -1), strip), lambda x: x != "")
     plain = F.transform(lines, lambda x, i: _cue(i * PLAIN_STEP, i * PLAIN_STEP + PLAIN_LENGTH, x))
-    return F.when(F.size(stamps) > 0, stamped).otherwise(plain)
+
+    def timed(at: Column) -> Column:
+        both = F.zip_with(at, texts, lambda s, t: F.struct(s.alias("start"), t.alias("text")))
+        stamped = F.transform(both, lambda x, i: _cue(x["start"], F.coalesce(F.get(at, i + 1), x["start"] + TRANSCRIPT_LAST), x["text"]))
+        return F.when(F.size(at) > 0, stamped).otherwise(plain)
+
+    return let(stamps, timed)
 
 
 def sniff(raw: Column, name: Column) -> Column:
@@ -239,11 +261,16 @@ PARSERS: dict[str, Callable[[Column, Column], Column]] = {
 def parse(raw: Column, name: Column, fps: Column | None = None, formats: list[str] | None = None) -> Column:
     """Cues of a document of any format."""
     fps = F.lit(DEFAULT_FPS) if fps is None else fps
-    text = F.replace(raw, F.lit("\ufeff"), F.lit(""))
-    fmt, out = sniff(text, name), F.lit(None)
-    for k in formats or PARSERS:
-        out = F.when(fmt == k, PARSERS[k](text, fps)).otherwise(out)
-    return out
+
+    def by_format(d: Column) -> Column:
+        out = F.lit(None)
+        for k in formats or PARSERS:
+            out = F.when(d["fmt"] == k, PARSERS[k](d["text"], fps)).otherwise(out)
+        return out
+
+    bare = F.replace(raw, F.lit("\ufeff"), F.lit(""))
+    sniffed = let(bare, lambda t: F.struct(t.alias("text"), sniff(t, name).alias("fmt")))
+    return let(sniffed, by_format)
 
 
 def cues(df: DataFrame, parsed: Column, keep: list[str], strict: bool = False) -> DataFrame:
