@@ -208,7 +208,22 @@ r as (select file, min(ord) first_ord, max(ord) last_ord, count(*) cues, max(e)
 """
 _TOKENS = f"len(regexp_extract_all(text, '{TOKEN}'))"
 
+
+
+def _words(x: str) -> str:
+    """The words of a text as a list, without markup, cue numbers and timing."""
+    t = f"regexp_replace({x}, '(?im)^(?:[ \\t]*[0-9]+[ \\t]*\\r?\\n)?[^\\n]*-->[^\\n]*$', '', 'g')"
+    t = f"regexp_replace({t}, '<[^<>\\n]*>|\\{{[^{{}}\\n]*\\}}', '', 'g')"
+    return f"regexp_extract_all(lower({_mapped(t)}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams(table_name: str, key: str) -> str:
+    return f"""(select distinct {key}, array_to_string(w[k:k + 11], ' ') g from (
+      select {key}, w, unnest(range(1, len(w) - 10)) k from (select {key}, {_words('text')} w from {table_name} where text is not null)))"""
+
+
 ORACLE = {
+    "p6_found": f"select distinct item_id, doc_id from {_grams('heldout_item', 'item_id')} i join {_grams('documents', 'doc_id')} d using (g)",
     "p1_found": _P1 + "select ref_cue_id, cand_cue_id from j",
     "p1_pairs": _P1 + "select * from j",
     "p3_found": f"""
