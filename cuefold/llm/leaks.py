@@ -30,6 +30,8 @@ from cuefold.session import cut
 CHUNK = 1_000_000
 #: Documents the SVD is fitted on, at most about this many; every passage is searched.
 FIT_DOCUMENTS = 20_000
+#: Tasks of the fit on a sample: each sends one (words x directions) sum.
+FIT_TASKS = 64
 #: Latent dimensions, extra random directions and power iterations of the SVD.
 RANK, EXTRA, POWER = 96, 16, 2
 #: Cosine from which a passage is a candidate for an item.
@@ -245,12 +247,13 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _longest_run(ids: np.ndarray, own: np.ndarray, n: int, hashes: np.ndarray) -> int:
-    """Words of the longest run of n or more that ``own`` shares with ``ids``; 0 if none."""
-    mine = gram_hashes(own, n)
-    at = np.flatnonzero(np.isin(hashes, mine))
+def _longest_run(ids: np.ndarray, own: np.ndarray, n: int, hashes: np.ndarray, mine: np.ndarray) -> int:
+    """Words of the longest run of n or more that ``own`` shares with ``ids``; 0 if none.
+
+    ``hashes`` and ``mine`` are the hashes of the runs of n words of both.
+    """
     best = 0
-    for i in at.tolist():
+    for i in np.flatnonzero(np.isin(hashes, mine)).tolist():
         for j in np.flatnonzero(mine == hashes[i]).tolist():
             if i and j and hashes[i - 1] == mine[j - 1]:
                 continue
@@ -262,38 +265,65 @@ def _longest_run(ids: np.ndarray, own: np.ndarray, n: int, hashes: np.ndarray) -
     return best
 
 
+def _candidates(docs: list[np.ndarray], n: int, present: np.ndarray, first: np.ndarray, grams: np.ndarray, idf, basis, cosine):
+    """(document, item, cosine, place of the best passage) of all pairs with a near passage."""
+    at = [_passages(ids, n) for ids in docs]
+    owner = np.repeat(np.arange(len(docs)), [len(x) for x in at])
+    if not len(owner):
+        return
+    # One array of all documents; none of its passages reaches into the next document.
+    shift = np.concatenate(([0], np.cumsum([len(ids) + 2 * n for ids in docs])))
+    every = np.full(shift[-1], -1, np.int32)
+    for k, ids in enumerate(docs):
+        every[shift[k] : shift[k] + len(ids)] = ids
+    place = np.concatenate(at)
+    where = place + shift[owner]
+    found = []
+    for a in range(0, len(where), 2048):
+        near = _normed(_vectors(every[where[a : a + 2048, None] + np.arange(2 * n)], idf, basis)) @ grams.T
+        per_item = np.maximum.reduceat(near, first, axis=1)
+        p, k = np.nonzero(per_item >= cosine)
+        found.append((owner[a + p], k, per_item[p, k], place[a + p]))
+    doc, item, c, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((place, -c, item, doc))
+    doc, item, c, place = doc[order], item[order], c[order], place[order]
+    best = np.flatnonzero(np.diff(doc * len(present) + item, prepend=-1))
+    yield from zip(doc[best].tolist(), item[best].tolist(), c[best].tolist(), place[best].tolist(), strict=True)
+
+
+#: Words of documents whose passages are compared at a time.
+BATCH_WORDS = 400_000
+
+
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
-    grams = _normed(_vectors(items.gram_words, idf, basis))
     n = items.n
     first = np.flatnonzero(np.diff(items.gram_item, prepend=-1))
     present = items.gram_item[first]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = _normed(_vectors(items.gram_words, idf, basis))
+        mine = [gram_hashes(w, n) for w in items.words]
         for pdf in batches:
-            out = []
-            for ident, raw in zip(pdf["ident"], pdf["ids"], strict=True):
-                ids = np.frombuffer(raw, np.int32)
-                at = _passages(ids, n)
-                best: dict[int, tuple[float, int]] = {}
-                for a in range(0, len(at), 2048):
-                    near = _normed(_vectors(_rows(ids, at[a : a + 2048], n), idf, basis)) @ grams.T
-                    per_item = np.maximum.reduceat(near, first, axis=1)
-                    for p, k in zip(*np.nonzero(per_item >= cosine), strict=True):
-                        c = float(per_item[p, k])
-                        if c > best.get(k, (-1.0, 0))[0]:
-                            best[k] = (c, int(at[a + p]))
-                if not best:
-                    continue
-                hashes = gram_hashes(ids, n)
-                for k, (c, place) in best.items():
-                    own = items.words[present[k]]
-                    run_words = _longest_run(ids, own, n, hashes)
-                    lcs = 0
-                    if c >= PARAPHRASE_COSINE or run_words:
-                        lcs = common_subsequence(own, ids[max(0, place - len(own)) : place + 2 * n + len(own)])
-                    out.append((items.ids[present[k]], ident, c, run_words, lcs / len(own)))
-            if out:
-                yield pd.DataFrame(out, columns=["item", "ident", "cosine", "run_words", "kept"])
+            idents, docs = pdf["ident"].tolist(), [np.frombuffer(raw, np.int32) for raw in pdf["ids"]]
+            a = 0
+            while a < len(docs):
+                b, size = a, 0
+                while b < len(docs) and (b == a or size + len(docs[b]) <= BATCH_WORDS):
+                    size += len(docs[b])
+                    b += 1
+                out, hashed = [], (-1, None)
+                for d, k, c, place in _candidates(docs[a:b], n, present, first, grams, idf, basis, cosine):
+                    ids, own = docs[a + d], items.words[present[k]]
+                    if hashed[0] != d:
+                        hashed = (d, gram_hashes(ids, n))
+                    run_words = _longest_run(ids, own, n, hashed[1], mine[present[k]])
+                    if not run_words and c < PARAPHRASE_COSINE:
+                        continue
+                    lcs = common_subsequence(own, ids[max(0, place - len(own)) : place + 2 * n + len(own)])
+                    out.append((items.ids[present[k]], idents[a + d], c, run_words, lcs / len(own)))
+                if out:
+                    yield pd.DataFrame(out, columns=["item", "ident", "cosine", "run_words", "kept"])
+                a = b
 
     return run
 
@@ -302,12 +332,13 @@ def find_leaks(
     docs: DataFrame, items: DataFrame, ident: str, text: str, item_ident: str, item_text: str,
     min_words: int = 12, cosine: float = COSINE,
 ) -> DataFrame:
-    """Candidates (item, document) with what their words share.
+    """Pairs of item and document that share a run of words or are near in meaning.
 
     Result: ``item``, ``ident``, ``cosine`` (of the document's best passage to the item's
     best run), ``run_words`` (longest run of at least ``min_words`` consecutive words of the
     item, else 0) and ``kept`` (longest common subsequence around the best passage as a
-    share of the item's words; 0 where the cosine is low and no run is shared).
+    share of the item's words).  Candidates without such a run and with a cosine under
+    ``PARAPHRASE_COSINE`` are left out.
 
     Letter case, punctuation, markup, line breaks, cue numbers, cue timing and look-alike
     characters between and in words don't matter.  Null texts hold nothing, items of fewer
@@ -342,6 +373,6 @@ def _find_block(corpus: DataFrame, items: Items, kind: str, schema: str, cosine:
     docs = scanned.where("ids is not null").select("ident", "ids")
     # The fit takes every m-th candidate document by hash, so that about FIT_DOCUMENTS remain.
     m = max(1, -(-docs.count() // FIT_DOCUMENTS))
-    sample = docs.where(F.pmod(F.xxhash64("ident"), F.lit(m)) == 0) if m > 1 else docs
+    sample = docs.where(F.pmod(F.xxhash64("ident"), F.lit(m)) == 0).repartition(FIT_TASKS) if m > 1 else docs
     basis = fit_basis(sample, idf, items)
     return docs.mapInPandas(_search(items, idf, basis, cosine), schema)
