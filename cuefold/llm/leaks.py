@@ -34,6 +34,8 @@ FIT_DOCUMENTS = 20_000
 FIT_TASKS = 64
 #: Latent dimensions, extra random directions and power iterations of the SVD.
 RANK, EXTRA, POWER = 96, 16, 2
+#: Weight that even the most common word has.
+LEAST_IDF = 0.1
 #: Cosine from which a passage is a candidate for an item.
 COSINE = 0.3
 #: Cosine from which the longest common subsequence is taken for paraphrases.
@@ -369,7 +371,8 @@ def _find_block(corpus: DataFrame, items: Items, kind: str, schema: str, cosine:
     stats = scanned.where("word >= 0").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size + 1)
     counts[stats["word"]] = stats["n"]
-    idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32)
+    # A word of every passage keeps a little weight, so that no item has none at all.
+    idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + LEAST_IDF).astype(np.float32)
     docs = scanned.where("ids is not null").select("ident", "ids")
     # The fit takes every m-th candidate document by hash, so that about FIT_DOCUMENTS remain.
     m = max(1, -(-docs.count() // FIT_DOCUMENTS))

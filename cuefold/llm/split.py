@@ -52,37 +52,45 @@ def strengths(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) ->
     return out
 
 
+def _place(strength: np.ndarray, limit: int, overlap: int, count: int) -> list[int] | None:
+    """Cuts into ``count`` pieces, None if some piece would pass the limit."""
+    n, fresh = len(strength), limit - overlap
+    # The first piece has room for the overlap besides its share.
+    share = (n - overlap) / count
+    at, reach = [0], max(16, int(share / 4))
+    for k in range(1, count):
+        target = overlap + share * k
+        # What follows must still fit into the pieces left.
+        least = max(at[-1] + 1, n - fresh * (count - k))
+        most = min(at[-1] + (limit if k == 1 else fresh), n - 1)
+        if least > most:
+            return None
+        lo, hi = max(least, int(target) - reach), min(most, int(target) + reach)
+        if lo > hi:
+            lo, hi = least, most
+        near = strength[lo : hi + 1].astype(np.int64)
+        # Strongest first, then nearest to the target.
+        far = np.abs(np.arange(lo, hi + 1) - target)
+        at.append(lo + int(np.lexsort((far, -near))[0]))
+    return at if n - at[-1] <= (fresh if count > 1 else limit) else None
+
+
 def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
-    """First own token of each piece.  Piece k also repeats the ``overlap`` tokens before it."""
+    """First own token of each piece.  Piece k also repeats the ``overlap`` tokens before it.
+
+    The minimum number of pieces may leave cuts no room to move to a boundary; one piece
+    more is taken where that turns the weakest cut below a line into a stronger one.
+    """
     n = len(strength)
     if n <= limit:
         return [0]
-    fresh = limit - overlap
-    count = 1 + -(-(n - limit) // fresh)
-    while True:
-        # The first piece has room for the overlap besides its share.
-        share = (n - overlap) / count
-        at, ok = [0], True
-        for k in range(1, count):
-            target = overlap + share * k
-            least = at[-1] + 1
-            most = min(at[-1] + (limit if k == 1 else fresh), n - 1)
-            # What follows must still fit into the pieces left.
-            least = max(least, n - fresh * (count - k))
-            if least > most:
-                ok = False
-                break
-            reach = max(16, int(share / 4))
-            lo, hi = max(least, int(target) - reach), min(most, int(target) + reach)
-            if lo > hi:
-                lo, hi = least, most
-            near = strength[lo : hi + 1].astype(np.int64)
-            # Strongest first, then nearest to the target.
-            far = np.abs(np.arange(lo, hi + 1) - target)
-            at.append(lo + int(np.lexsort((far, -near))[0]))
-        if ok and n - at[-1] <= fresh:
-            return at
+    count = 1 + -(-(n - limit) // (limit - overlap))
+    while (at := _place(strength, limit, overlap, count)) is None:
         count += 1
+    weakest = lambda x: int(strength[x[1:]].min())
+    if weakest(at) < LINE and (more := _place(strength, limit, overlap, count + 1)) and weakest(more) > weakest(at):
+        return more
+    return at
 
 
 def _pieces(limit: int, overlap: int):
