@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuefold.functions.text import similarity
 from cuefold.functions.timecode import percent
 from cuefold.operators.pairing import TOLERANCE, pair_cues
+from cuefold.session import cut
 
 SHIFT_WINDOW, SHIFT_SIMILARITY = 3.0, 0.92
 GAP_MARGIN = 0.5
@@ -98,7 +99,8 @@ def summaries(ref: DataFrame, cand: DataFrame, gaps: DataFrame, tolerance: float
     An unpaired reference adds its whole length, an extra candidate nothing.  Extras inside a
     declared gap, and all extras of a file without references, are unverified.
     """
-    paired = pairing(ref, cand, tolerance)
+    # Three figures come from the pairing, so it is made once.
+    paired = cut(pairing(ref, cand, tolerance))
     n = lambda c: F.count_if(c).alias
     is_pair = F.col("cand_id").isNotNull()
     left = paired.groupBy("file").agg(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cuefold.functions import text as T
 from cuefold.functions.binding import let
-from cuefold.operators import blocked, histogram, recognition, reuse, timing, tracks
+from cuefold.operators import compare as M
+from cuefold.operators import blocked, histogram, inspection, recognition, reuse, timing, tracks
 from cuefold.plans import media_sql
 from cuefold.session import ensure_checkpoint_dir, table
 from cuefold.sources import pgs, png, report
@@ -243,15 +244,15 @@ def histogram256(spark, sf):
 
 
 def repair_decisions(spark, sf):
-    """Which repairs glyph images of made-up tones would get, one image per order."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("v"))
+    """Which repairs glyph images of made-up tones would get, one image per customer."""
+    o = table(spark, sf, "customer").select("c_custkey", F.floor(F.abs("c_acctbal") * 37).cast("long").alias("v"))
     tone = lambda name, lo, hi, mass: F.struct((F.col("v") % (hi - lo) + lo).cast("int").alias("g"), (F.floor(F.col("v") / mass) % 900).cast("long").alias("n"))
     parts = F.array(tone("dark", 0, 127, 7), tone("light", 128, 250, 11), F.struct(F.lit(255).alias("g"), (F.col("v") % 3000).cast("long").alias("n")), F.struct(F.lit(8).alias("g"), (F.col("v") % 41 * 50).cast("long").alias("n")))
     bins = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda g: F.aggregate(F.filter(parts, lambda p: p["g"] == g), F.lit(0).cast("long"), lambda a, p: a + p["n"]))
     add = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
     decided = let(bins, lambda h: let(add(h), lambda n: F.struct(
         histogram.shadow_strip(h, n).alias("strip"), histogram.fill_threshold(h, n).alias("fill"), histogram.hollow_fill(h, n).alias("hollow"))))
-    return o.select("o_orderkey", decided.alias("d")).select("o_orderkey", "d.strip.low", "d.strip.high", "d.fill", "d.hollow")
+    return o.select("c_custkey", decided.alias("d")).select("c_custkey", "d.strip.low", "d.strip.high", "d.fill", "d.hollow")
 
 
 def reading_order(spark, sf):
@@ -287,6 +288,43 @@ def json_report(spark, sf):
     return report.detail_rows(docs, "d", "struct<ocr_id:bigint,text:string,confidence:double>")
 
 
+def _missing(spark, sf):
+    ref, cand = M.tracked(table(spark, sf, "ref_cue")), M.tracked(table(spark, sf, "cand_cue"))
+    return M.pairing(ref, cand), cand
+
+
+def inspection_manifest(spark, sf):
+    """Missing references with the image to look at: the last candidate that starts when they do."""
+    paired, cand = _missing(spark, sf)
+    targets = inspection.targets(paired, "missing").withColumn("stream", report.stream_path(F.col("file"), F.lit(None), "/set"))
+    images = cand.select("file", F.floor("start").alias("at"), F.col("ord"), F.col("id").alias("image"))
+    out = inspection.with_images(targets.withColumn("at", F.floor("start")), images, ["file", "at"])
+    return out.select("file", "ref_id", "start", "image", "stream", inspection.manifest_line(F.col("file"), F.col("start"), F.col("image")).alias("line"))
+
+
+def inspection_limits(spark, sf):
+    """Missing references within a budget of 100 that is used up file by file."""
+    paired, _ = _missing(spark, sf)
+    return inspection.within_budget(inspection.targets(paired, "missing"), 100).select("file", "ref_id")
+
+
+def unique_names(spark, sf):
+    """Names of uploads, later ones of the same name numbered."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", "_"), F.lit(".srt")).alias("name"))
+    return inspection.unique_names(p, "name", "p_partkey").select("p_partkey", "unique")
+
+
+def batch_outcomes(spark, sf):
+    """Counters of a batch over containers: tracks planned, done before, failed."""
+    t = _tracks(spark, sf)
+    seen = table(spark, sf, "ocr_result").select("file", "track_id").distinct().withColumn("read", F.lit(True))
+    j = t.join(seen, ["file", "track_id"], "left")
+    return j.groupBy("file").agg(
+        F.count("*").alias("tracks"), F.count_if(F.col("read")).alias("extracted"), F.count_if(F.col("read").isNull()).alias("failures"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("language_code", F.lit("und")))), ",").alias("languages"),
+    )
+
+
 def pgs_decode(spark, sf):
     """Reference cues written as bitmap streams and decoded: times, sizes, usability and end of each set."""
     c = (
@@ -355,6 +393,6 @@ QUERIES = {f.__name__: f for f in (
     next_later_pts, display_end, timing_fallback, frame_numbers, output_status, dedup_first, dedup_fanout, mkv_tracks, track_select, extract_plan,
     plan_clashes, skip_existing, pair_idx_sub, language_groups, cache_lookup, cache_store, queue_upsert, even_sample, engine_probe, candidate_select,
     reading_flags, line_regroup, command_output, batch_defaults, engine_failures, histogram256, repair_decisions, reading_order, listing_pairs,
-    fixture_gaps, csv_report, json_report, pgs_decode, png_roundtrip, job_progress, job_progress_stream,
+    fixture_gaps, csv_report, json_report, inspection_manifest, inspection_limits, unique_names, batch_outcomes, pgs_decode, png_roundtrip, job_progress, job_progress_stream,
 )}
 ORACLE = media_sql.ORACLE

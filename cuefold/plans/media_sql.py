@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cuefold.operators.tracks import LANGUAGES
 from cuefold.plans import sql as Q
+from cuefold.plans.scoring_sql import PAIRED
 
 _FRAMES = """f as (select user_id as file, event_id as ord, epoch_ms(date_trunc('hour', ts)) as pts, event_type, value from events)"""
 _TRACKS = "t as (select distinct * from track)"
@@ -59,20 +60,20 @@ def _sampled(count: int) -> str:
 
 
 _FOLD_SHADOW = """
-h0 as (select o_orderkey, cast(floor(o_totalprice) as bigint) v from orders),
-h1 as (select o_orderkey, unnest([{'g': v % 127, 'n': v // 7 % 900}, {'g': v % 122 + 128, 'n': v // 11 % 900}, {'g': 255::bigint, 'n': v % 3000}, {'g': 8::bigint, 'n': v % 41 * 50}]) x from h0),
-h as (select o_orderkey, x.g g, sum(x.n)::bigint n from h1 group by 1, 2),
-s as (select o_orderkey, sum(n)::bigint total, greatest(50, sum(n) * 0.005::double) least_, coalesce(sum(n) filter (where g >= 250), 0) back,
+h0 as (select c_custkey, cast(floor(abs(c_acctbal) * 37) as bigint) v from customer),
+h1 as (select c_custkey, unnest([{'g': v % 127, 'n': v // 7 % 900}, {'g': v % 122 + 128, 'n': v // 11 % 900}, {'g': 255::bigint, 'n': v % 3000}, {'g': 8::bigint, 'n': v % 41 * 50}]) x from h0),
+h as (select c_custkey, x.g g, sum(x.n)::bigint n from h1 group by 1, 2),
+s as (select c_custkey, sum(n)::bigint total, greatest(50, sum(n) * 0.005::double) least_, coalesce(sum(n) filter (where g >= 250), 0) back,
   coalesce(sum(n) filter (where g between 128 and 249), 0) light, coalesce(sum(n) filter (where g < 128), 0) dark,
   coalesce(sum(n) filter (where g >= 240), 0) white, coalesce(sum(n) filter (where g <= 16), 0) black from h group by 1),
-pk as (select o_orderkey, coalesce(min(g) filter (where g between 128 and 249 and n > 0 and rl = 1), 128) lp, coalesce(min(g) filter (where g < 128 and n > 0 and rd = 1), 0) dp from (
-  select *, rank() over (partition by o_orderkey, g between 128 and 249 order by n desc) rl, rank() over (partition by o_orderkey, g < 128 order by n desc) rd from h) group by 1),
-fp as (select s.o_orderkey, any_value(least_) least_, any_value(total) total, max(g) filter (where n >= least_ and g >= 64) peak from s join h using (o_orderkey) group by 1),
-al as (select fp.o_orderkey, peak, least_, total, (select max(x.k) from range(256) x(k) left join h on h.o_orderkey = fp.o_orderkey and h.g = x.k
+pk as (select c_custkey, coalesce(min(g) filter (where g between 128 and 249 and n > 0 and rl = 1), 128) lp, coalesce(min(g) filter (where g < 128 and n > 0 and rd = 1), 0) dp from (
+  select *, rank() over (partition by c_custkey, g between 128 and 249 order by n desc) rl, rank() over (partition by c_custkey, g < 128 order by n desc) rd from h) group by 1),
+fp as (select s.c_custkey, any_value(least_) least_, any_value(total) total, max(g) filter (where n >= least_ and g >= 64) peak from s join h using (c_custkey) group by 1),
+al as (select fp.c_custkey, peak, least_, total, (select max(x.k) from range(256) x(k) left join h on h.c_custkey = fp.c_custkey and h.g = x.k
         where x.k < peak and peak - x.k >= 8 and coalesce(h.n, 0) < least_) low0 from fp),
 lw as (select *, coalesce(low0, -1) low from al),
-fd as (select lw.o_orderkey, any_value(peak) peak, any_value(total) total, any_value(low) low, sum(n) filter (where g > low and g <= peak) mass, max(g) filter (where g < low and n >= least_) below
-       from lw join h using (o_orderkey) group by 1)
+fd as (select lw.c_custkey, any_value(peak) peak, any_value(total) total, any_value(low) low, sum(n) filter (where g > low and g <= peak) mass, max(g) filter (where g < low and n >= least_) below
+       from lw join h using (c_custkey) group by 1)
 """
 
 ORACLE = {
@@ -155,11 +156,11 @@ ORACLE = {
       c as (select vec_id, g, count(*) n from e group by 1, 2), s as (select vec_id, sum(n)::bigint total, sum(n * g)::double s1, sum(n * g * g)::double s2, arg_max(g, {'n': n, 'g': -g}) as mode from c group by 1)
       select vec_id, total, round(s1 / total / 255, 9) as mean, round(sqrt(greatest(0, s2 / total - pow(s1 / total, 2))) / 255, 9) as deviation, mode from s""",
     "repair_decisions": f"""with {_FOLD_SHADOW}
-      select s.o_orderkey, case when ok then floor((dp + lp) / 2 / 255 * 100 + 0.5)::int end as low, case when ok then floor((lp + 255) / 2 / 255 * 100 + 0.5)::int end as high,
+      select s.c_custkey, case when ok then floor((dp + lp) / 2 / 255 * 100 + 0.5)::int end as low, case when ok then floor((lp + 255) / 2 / 255 * 100 + 0.5)::int end as high,
         case when fd.peak is not null and fd.mass <= 0.35::double * fd.total and fd.peak - fd.below >= 24 then floor((fd.peak + fd.below) / 2 / 255 * 100 + 0.5)::int end as fill,
         s.total > 0 and black + white >= 0.97::double * s.total and white >= 0.02::double * s.total and white <= 0.5::double * s.total as hollow
-      from (select s.*, lp, dp, total > 0 and back >= 0.4::double * total and light >= 100 and dark >= 0.85::double * light and lp - dp >= 64 and lp <= 235 ok from s join pk using (o_orderkey)) s
-      join fd using (o_orderkey)""",
+      from (select s.*, lp, dp, total > 0 and back >= 0.4::double * total and light >= 100 and dark >= 0.85::double * light and lp - dp >= 64 and lp <= 235 ok from s join pk using (c_custkey)) s
+      join fd using (c_custkey)""",
     "listing_pairs": """with s as (select distinct file base, file || '.sup' as name from cue), r as (select distinct file base, file || '-eng.srt' reference from ref_cue),
       c as (select base, max_by(n, l) candidate from (select file base, file || '.srt' n, 0 l from cand_cue union all select file, file || '-eng.srt', 1 from track) group by base)
       select base, name, reference, candidate, reference is not null and candidate is not null as complete from s left join r using (base) left join c using (base)""",
@@ -168,6 +169,17 @@ ORACLE = {
       q as (select *, case when regexp_matches(coalesce(text, ''), '[,"\\n]') then '"' || replace(text, '"', '""') || '"' else coalesce(text, '') end qt from c)
       select file, ord, ord || ',' || qt || ',,' || file as line from q""",
     "json_report": "select distinct ocr_id, text, confidence from ocr_result",
+    "inspection_manifest": PAIRED + """, mi as (select file, ref_id, ref_start, floor(ref_start) k from p where cand_id is null),
+      im as (select file, floor(s) k, arg_max(id, {'o': ord, 'i': id}) image from cand group by 1, 2)
+      select mi.file, ref_id, ref_start as "start", image, '/set/' || mi.file || '.sup' as stream,
+        '{"name":"' || mi.file || '","start":' || ref_start || ',"path":"' || mi.file || '-' || printf('%010d', cast(floor(ref_start * 1000 + 0.5) as bigint)) || '.png"' || case when image is null then '' else ',"image":' || image end || '}' as line
+      from mi left join im on mi.file = im.file and mi.k = im.k""",
+    "inspection_limits": PAIRED + "select file, ref_id from (select * from p where cand_id is null order by file, ref_start, ref_id limit 100)",
+    "unique_names": """with n as (select p_partkey, replace(p_name, ' ', '_') stem, row_number() over (partition by p_name order by p_partkey) k from part)
+      select p_partkey, stem || case when k = 1 then '' else '-' || k end || '.srt' as "unique" from n""",
+    "batch_outcomes": f"""with {_TRACKS}, s as (select distinct file, track_id from ocr_result)
+      select t.file, count(*) as tracks, count(s.file) as extracted, count(*) - count(s.file) as failures, array_to_string(list_sort(list_distinct(list(coalesce(language_code, 'und')))), ',') as languages
+      from t left join s on t.file = s.file and t.track_id = s.track_id group by t.file""",
     "png_roundtrip": "select vec_id, true as same from embeddings",
     "pgs_decode": """with c as (select distinct file, cue_id, "start" s, "end" e, cue_id // 100 chunk from ref_cue where "start" is not null and "end" is not null and "end" > "start"),
       n as (select *, row_number() over (partition by file, chunk order by s, cue_id) - 1 k from c)

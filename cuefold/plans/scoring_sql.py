@@ -32,7 +32,7 @@ pairs as (select l, r from st where r is not null)
 
 
 _BASE = f"with recursive ref as ({_side('ref_cue')}), cand as ({_side('cand_cue')}),"
-_PAIRED = _BASE + _pairs("ref", "cand", 0.04) + """,
+PAIRED = _BASE + _pairs("ref", "cand", 0.04) + """,
 asc_ as (select id, regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g') t from ref union all select id, regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g') from cand),
 p as (select ref.file, ref.id ref_id, ref.ord ref_ord, ref.s ref_start, ref.e ref_end, ref.t ref_text, cand.id cand_id, cand.e cand_end, cand.t cand_text,
       case when cand.id is null then length(ref.t) else {lev} end edit_distance
@@ -60,7 +60,7 @@ def _chars(a: str, b: str) -> str:
     return f"levenshtein({one(a)}, {one(b)})"
 
 
-_PAIRED = _PAIRED.replace("{lev}", _chars("cand.t", "ref.t")).replace("{lev2}", _chars("p.ref_text", "c.t"))
+PAIRED = PAIRED.replace("{lev}", _chars("cand.t", "ref.t")).replace("{lev2}", _chars("p.ref_text", "c.t"))
 _ROWS = """, l as (select file, count(*) reference_cues, count(*) filter (where cand_id is null) as missing,
     count(*) filter (where cand_id is not null and abs(cand_end - ref_end) > 0.04::double) end_mismatches,
     count(*) filter (where cand_text = ref_text) exact_text_matches, sum(edit_distance)::bigint text_edit_distance, sum(length(ref_text))::bigint reference_characters
@@ -82,16 +82,16 @@ _ROWS = """, l as (select file, count(*) reference_cues, count(*) filter (where
 ORACLE = {
     "pair": _BASE + _pairs("ref", "cand", 0.04) + "select l as ref_id, r as cand_id from pairs",
     "frame_targets": _BASE + _pairs("cand", "ref", 0.08) + "select l as frame_id, r as target_id from pairs",
-    "pair_details": _PAIRED + "select file, ref_id, cand_id, edit_distance from p",
-    "missing_cues": _PAIRED + "select file, ref_id, ref_start from p where cand_id is null",
-    "extra_cues": _PAIRED + 'select file, id as cand_id, s as "start", in_gap from x',
-    "shifted_matches": _PAIRED + "select * from shift",
-    "text_mismatch_topk": _PAIRED + """, k as (select *, row_number() over (partition by file order by edit_distance desc, cer desc, ref_ord, ref_id) as rank from mm)
+    "pair_details": PAIRED + "select file, ref_id, cand_id, edit_distance from p",
+    "missing_cues": PAIRED + "select file, ref_id, ref_start from p where cand_id is null",
+    "extra_cues": PAIRED + 'select file, id as cand_id, s as "start", in_gap from x',
+    "shifted_matches": PAIRED + "select * from shift",
+    "text_mismatch_topk": PAIRED + """, k as (select *, row_number() over (partition by file order by edit_distance desc, cer desc, ref_ord, ref_id) as rank from mm)
       select file, rank, ref_id, cand_id, edit_distance, cer from k where rank <= 5""",
-    "global_topk_regroup": _PAIRED + """, k as (select * from mm order by edit_distance desc, cer desc, file, ref_id limit 200)
+    "global_topk_regroup": PAIRED + """, k as (select * from mm order by edit_distance desc, cer desc, file, ref_id limit 200)
       select file, count(*) as targets, max(edit_distance) as worst, list(ref_id order by ref_id) as ref_ids from k group by file""",
-    "benchmark_summary": _PAIRED + _ROWS + """select *, case when missing > 0 or extra > 0 or end_mismatches > 0 then 'check' when unverified > 0 then 'unverified' else 'ok' end as verdict from r""",
-    "quality_gate": _PAIRED + _ROWS + """, c as (select count(*) filter (where reference_cues > 0 and candidate_cues > 0) compared,
+    "benchmark_summary": PAIRED + _ROWS + """select *, case when missing > 0 or extra > 0 or end_mismatches > 0 then 'check' when unverified > 0 then 'unverified' else 'ok' end as verdict from r""",
+    "quality_gate": PAIRED + _ROWS + """, c as (select count(*) filter (where reference_cues > 0 and candidate_cues > 0) compared,
         count(*) filter (where reference_cues = 0 or candidate_cues = 0) unpaired from r0),
       f as (select list_filter([case when compared = 0 then '0 fixtures compared' end, case when unpaired > 0 then 'missing candidate/reference pairs: ' || unpaired end,
         case when compared < 9 then 'compared ' || compared || ' fixtures, expected at least 9' end, case when missing > 0 then 'missing ' || missing || ' > 0' end,

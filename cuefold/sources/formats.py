@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.functions.binding import let
-from cuefold.functions.text import clean_subtitle_text, decode_entities, strip
+from cuefold.functions.text import WS, clean_subtitle_text, decode_entities, strip
 from cuefold.functions.timecode import DEFAULT_FPS, parse_srt_time, parse_timecode, ttml_time
 
 ARROW = "-->"
@@ -243,7 +243,7 @@ def sniff(raw: Column, name: Column) -> Column:
     return (
         F.when(n.endswith(".srt"), "srt").when(n.endswith(".vtt"), "vtt").when(n.rlike(r"\.(itt|ttml)\z"), "ttml")
         .when(n.rlike(r"\.(ass|ssa)\z"), "ass").when(n.rlike(r"\.(smi|sami)\z"), "sami")
-        .when(strip(raw).rlike(rf"(?i)\AWEBVTT{w}"), "vtt")
+        .when(raw.rlike(rf"(?i)\A{WS}*WEBVTT{w}"), "vtt")
         .when(raw.rlike(rf"(?i)<(?:[A-Za-z0-9_]+:)?tt{w}[^>]*http://www\.w3\.org/ns/ttml"), "ttml")
         .when(raw.rlike(r"(?m)^\{[0-9]+\}\{[0-9]+\}"), "microdvd").when(raw.rlike(r"(?m)^\[[0-9]+\]\[[0-9]+\]"), "mpl2")
         .when(F.contains(raw, F.lit(ARROW)), "srt").when(raw.rlike(r"(?im)^\s*\[Events\]"), "ass")
