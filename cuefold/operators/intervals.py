@@ -66,11 +66,7 @@ def merge_intervals(
     blocks = Window.partitionBy("entity").orderBy("block")
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        rows.groupBy("entity", "block").agg(F.min("s").alias("first_s"), F.max("e").alias("reach"))
-    )
-    last_run = runs.groupBy("entity", "block").agg(F.max("s").alias("last_s"))
-    summary = (
-        summary.join(last_run, ["entity", "block"])
+        runs.groupBy("entity", "block").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"), F.max("e").alias("reach"))
         .withColumn("carry_e", F.max("reach").over(before))
         .withColumn("next_s", F.lead("first_s").over(blocks))
         .withColumn("opens", F.expr("case when carry_e is null or last_s > carry_e then last_s end"))
