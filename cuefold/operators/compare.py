@@ -15,11 +15,11 @@ GAP_MARGIN = 0.5
 
 
 def tracked(df: DataFrame) -> DataFrame:
-    """``file, id, ord, start, end, text`` of readable cues; repeated rows count once."""
+    """``file, id, ord, start, end, text`` of readable cues; rows of one id are repeated rows and count once."""
     return (
         df.where("file is not null and start is not null and end is not null")
         .select("file", F.col("cue_id").alias("id"), F.col("index").alias("ord"), "start", "end", F.coalesce("text", F.lit("")).alias("text"))
-        .distinct()
+        .dropDuplicates(["id"])
     )
 
 

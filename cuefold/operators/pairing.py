@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuefold.session import cut
+
 TOLERANCE = 0.04
 #: Width of the time blocks in which gaps are sought, in seconds.
 BLOCK_S = 3600.0
@@ -29,16 +31,12 @@ def _islands(ref: DataFrame, cand: DataFrame, tol: float) -> DataFrame:
     ).where("file is not null and start is not null and not isnan(start)").withColumn("block", F.floor(F.col("start") / BLOCK_S))
     w = Window.partitionBy("file", "block").orderBy("start", "side", "ord", "id")
     files = Window.partitionBy("file").orderBy("block")
-    ends = (
-        both.groupBy("file", "block").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-        .withColumn("before", F.lag("hi").over(files))
-    )
     # A guard above the tolerance: rounding must never part what may pair.
     wide = tol + 1e-6
     inner = both.withColumn("brk", F.when(F.col("start") - F.lag("start").over(w) > wide, F.col("start")))
-    last = inner.groupBy("file", "block").agg(F.max("brk").alias("last_brk"))
     ends = (
-        ends.join(last, ["file", "block"])
+        inner.groupBy("file", "block").agg(F.min("start").alias("lo"), F.max("start").alias("hi"), F.max("brk").alias("last_brk"))
+        .withColumn("before", F.lag("hi").over(files))
         .withColumn("own", F.when(F.col("before").isNull() | (F.col("lo") - F.col("before") > wide), F.col("lo")))
         .withColumn("opens", F.coalesce("last_brk", "own"))
         .withColumn("carry", F.last("opens", ignorenulls=True).over(files.rowsBetween(Window.unboundedPreceding, -1)))
@@ -107,9 +105,12 @@ def pair_cues(ref: DataFrame, cand: DataFrame, tolerance: float = TOLERANCE) ->
     order in the file, which decides ties.  For each reference in order of start the unused
     candidate with start >= ref - tol and start - ref <= tol (in doubles, as written)
     that is nearest wins, on a tie the earlier one.  Rows without file or start pair with
-    nothing; repeated rows must be removed before.  Empty inputs give no rows.
+    nothing; repeated rows must be removed before.  Empty inputs give no rows.  A very long
+    island, in which no gap is wider than the tolerance, is walked as a sorted stream, for
+    the rule is sequential there; memory holds only what lies within the tolerance.
     """
-    isl = _islands(ref, cand, tolerance)
+    # Islands are counted, then folded or walked: three readings of a few narrow columns.
+    isl = cut(_islands(ref, cand, tolerance))
     row = F.struct("start", "ord", "id")
     groups = isl.groupBy("file", "isl").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("nr"))
     # Only islands with both sides can give pairs; arrays are gathered for short ones only.
