@@ -32,6 +32,10 @@ TOP = 400
 LONGEST = 4
 #: Relative lead under which a segment counts as undecided.
 LEAD = 0.02
+#: Relative lead from which a unit speaks for its language in a group of texts.
+STRONG = 0.2
+#: Share of the strong units that a language needs for its weak units to count.
+SUPPORT = 0.1
 #: Refits of the profiles on their own labels.
 REFITS = 2
 
@@ -199,21 +203,22 @@ def _segmenter(profiles: Profiles, unit: str):
                         s["last"], s["chars"] = n, w
                         s["units"] += 1
                         s["decided"] += name is not None
+                        s["strong"] += bool(conf >= STRONG)
                     else:
-                        segs.append({"first": n, "last": n, "units": 1, "decided": int(name is not None), "chars": size, "language": name, "confidence": float(conf)})
+                        segs.append({"first": n, "last": n, "units": 1, "decided": int(name is not None), "strong": int(conf >= STRONG), "chars": size, "language": name, "confidence": float(conf)})
             yield pdf.drop(columns="text").assign(segments=out)
 
     return run
 
 
-SEGMENT = "array<struct<first:int,last:int,units:int,decided:int,chars:int,language:string,confidence:double>>"
+SEGMENT = "array<struct<first:int,last:int,units:int,decided:int,strong:int,chars:int,language:string,confidence:double>>"
 
 
 def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: Profiles, unit: str = "line") -> DataFrame:
     """``keys`` and ``segments``: the stretches of one language in each text.
 
     A segment has its ``first`` and ``last`` unit (lines or sentences with text, from 0), how
-    many units it has and how many were decided on their own, its length, ``language`` and
+    many units it has, how many were decided on their own and how many strongly, its length, ``language`` and
     ``confidence`` (0 to 1).  Units without letters or without a clear lead go with the
     stretch they stand in; a text with no decided unit has one segment without a language.
     Null and blank texts give an empty list.  Rows are independent and keep their number.
@@ -229,20 +234,30 @@ def language_shares(segments: DataFrame, keys: list[str], ident: str, least_shar
     """Languages of each group ``keys``: those of at least ``least_share`` of its decided units.
 
     ``segments`` comes from :func:`segment_languages` with ``keys`` and ``ident``, the id of a
-    text; repeated rows of a text count once.  Result: ``keys, language, units, share, confidence``.
+    text; repeated rows of a text count once.  Units of a language with hardly a strong unit
+    in its group are taken for misread ones of the group's main language.
+    Result: ``keys, language, units, share, confidence``.
     """
     per_text = segments.groupBy(*keys, ident).agg(F.max("segments").alias("segments"))
     per_language = (
         per_text.select(*keys, F.explode("segments").alias("s")).where("s.language is not null")
         .groupBy(*keys, F.col("s.language").alias("language"))
-        .agg(F.sum("s.decided").alias("units"), (F.sum(F.col("s.confidence") * F.col("s.chars")) / F.sum("s.chars")).alias("confidence"))
+        .agg(
+            F.sum("s.decided").alias("units"), F.sum("s.strong").alias("strong"),
+            (F.sum(F.col("s.confidence") * F.col("s.chars")) / F.sum("s.chars")).alias("confidence"),
+        )
     )
+    # A group has as many rows here as there are languages.
     packed = per_language.groupBy(*keys).agg(
-        F.sum("units").alias("total"), F.collect_list(F.struct("language", "units", "confidence")).alias("all")
+        F.sum("units").alias("total"), F.sum("strong").alias("strong"), F.max(F.struct("units", "language")).alias("most"),
+        F.collect_list(F.struct("language", "units", "strong", "confidence")).alias("all"),
     )
+    backed = lambda x: (x["strong"] >= SUPPORT * F.col("strong")) | (x["language"] == F.col("most.language"))
+    stray = F.aggregate(F.filter("all", lambda x: ~backed(x)), F.lit(0).cast("long"), lambda a, x: a + x["units"])
     return (
-        packed.select(*keys, "total", F.explode("all").alias("x"))
-        .select(*keys, "x.language", "x.units", (F.col("x.units") / F.col("total")).alias("share"), "x.confidence")
+        packed.select(*keys, "total", "most", stray.alias("stray"), F.explode(F.filter("all", backed)).alias("x"))
+        .withColumn("units", F.col("x.units") + F.when(F.col("x.language") == F.col("most.language"), F.col("stray")).otherwise(0))
+        .select(*keys, "x.language", "units", (F.col("units") / F.col("total")).alias("share"), "x.confidence")
         .where(F.col("share") >= least_share - 1e-9)
     )
 

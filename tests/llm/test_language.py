@@ -48,7 +48,7 @@ def test_segments_and_edges(spark):
 
 
 def test_cases(spark):
-    seg = lambda *x: [(0, 0, n, n, 10, lang, 0.5) for lang, n in x]
+    seg = lambda *x: [(0, 0, n, n, n, 10, lang, 0.5) for lang, n in x]
     rows = [("f", 1, 1, seg(("eng", 8))), ("f", 1, 1, seg(("eng", 8))), ("f", 1, 2, seg(("fre", 2))), ("f", 2, 3, seg(("ger", 9), ("ita", 1))), ("f", 3, 4, seg(("spa", 5))), ("f", 4, 5, seg(("dut", 1))), ("f", 5, 6, [])]
     df = spark.createDataFrame(rows, f"file string, track_id int, ocr_id int, segments {G.SEGMENT}")
     shares = G.language_shares(df, ["file", "track_id"], "ocr_id", 0.2)
@@ -57,6 +57,13 @@ def test_cases(spark):
     assert got == {(1, "eng"), (1, "fre"), (3, "spa"), (4, "dut")}
 
 
+def test_stray_units_go_to_the_main_language(spark):
+    rows = [("f", 1, [(0, 0, 7, 7, 7, 70, "eng", 0.5), (1, 1, 3, 3, 0, 30, "ita", 0.1)]), ("g", 2, [(0, 0, 7, 7, 7, 70, "eng", 0.5), (1, 1, 3, 3, 2, 30, "ita", 0.4)]), ("h", 3, [(0, 0, 1, 1, 0, 9, "dut", 0.1)])]
+    df = spark.createDataFrame(rows, f"file string, ocr_id int, segments {G.SEGMENT}")
+    got = {(r.file, r.language): (r.units, r.share) for r in G.language_shares(df, ["file"], "ocr_id", 0.2).collect()}
+    assert got == {("f", "eng"): (10, 1.0), ("g", "eng"): (7, 0.7), ("g", "ita"): (3, 0.3), ("h", "dut"): (1, 1.0)}
+
+
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "text string, label string")
     profiles = G.fit_profiles(empty, "text", "label")
