@@ -34,6 +34,8 @@ LONGEST = 4
 LEAD = 0.02
 #: Relative lead from which a unit speaks for its language in a group of texts.
 STRONG = 0.2
+#: Shorter units never speak for a language of their own.
+STRONG_CHARS = 20
 #: Share of the strong units that a language needs for its weak units to count.
 SUPPORT = 0.1
 #: Refits of the profiles on their own labels.
@@ -192,6 +194,7 @@ def _segmenter(profiles: Profiles, unit: str):
                 for j, (x, conf, k) in enumerate(zip(lang, lead, owner[a : a + 20_000], strict=True)):
                     segs, name = out[k], profiles.languages[x] if x >= 0 else None
                     size = len(units[a + j].strip())
+                    strong = bool(conf >= STRONG and size >= STRONG_CHARS)
                     n = count[k]
                     count[k] += 1
                     if segs and (name is None or segs[-1]["language"] in (name, None)):
@@ -203,9 +206,9 @@ def _segmenter(profiles: Profiles, unit: str):
                         s["last"], s["chars"] = n, w
                         s["units"] += 1
                         s["decided"] += name is not None
-                        s["strong"] += bool(conf >= STRONG)
+                        s["strong"] += strong
                     else:
-                        segs.append({"first": n, "last": n, "units": 1, "decided": int(name is not None), "strong": int(conf >= STRONG), "chars": size, "language": name, "confidence": float(conf)})
+                        segs.append({"first": n, "last": n, "units": 1, "decided": int(name is not None), "strong": int(strong), "chars": size, "language": name, "confidence": float(conf)})
             yield pdf.drop(columns="text").assign(segments=out)
 
     return run
