@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuefold.functions import text as T
 from cuefold.functions import timecode as C
 from cuefold.plans import formats_sql
-from cuefold.session import table
+from cuefold.session import spread, table
 from cuefold.sources import formats as X
 from cuefold.sources import srt_sink as S
 
@@ -21,7 +21,7 @@ def _no_name():
 
 def _docs(spark, sf, source=None):
     d = table(spark, sf, "documents").select("doc_id", "source", "text").where("text is not null")
-    return d.where(F.col("source") == source) if source else d
+    return spread(d.where(F.col("source") == source) if source else d)
 
 
 def _cues(df, parsed, keys=("doc_id",)):
@@ -140,9 +140,9 @@ def srt_roundtrip(spark, sf):
 def timecode_format(spark, sf):
     li = table(spark, sf, "lineitem")
     s = F.col("l_extendedprice")
-    return li.select(
-        "l_orderkey", "l_linenumber", C.srt_time(s).alias("stamp"), C.parse_timecode(C.srt_time(s)).alias("back"),
-        C.parse_srt_time(C.srt_time(s)).alias("strict"), C.filename_time(s).alias("file_time"),
+    stamp = F.col("stamp")
+    return spread(li.select("l_orderkey", "l_linenumber", "l_extendedprice")).withColumn("stamp", C.srt_time(s)).select(
+        "l_orderkey", "l_linenumber", "stamp", C.parse_timecode(stamp).alias("back"), C.parse_srt_time(stamp).alias("strict"), C.filename_time(s).alias("file_time"),
         C.ttml_time(F.concat(F.floor(s), F.lit("f")), F.lit(25.0)).alias("frames"), C.minutes_seconds(s * 1000).alias("took"),
     )
 

@@ -340,6 +340,8 @@ def pgs_decode(spark, sf):
             out += pgs.encode_set(row.start, shape, cropped=bool(row.cue_id % 2)) + pgs.encode_set(row.end, None)
         return pd.DataFrame({"file": [f"{pdf.file.iloc[0]}#{pdf.chunk.iloc[0]}"], "content": [out]})
 
+    # As many tasks as cores: rows are few, but pixels are many.
+    c = c.repartition(2 * spark.sparkContext.defaultParallelism, "file", "chunk")
     streams = c.groupBy("file", "chunk").applyInPandas(write, "file string, content binary")
     return pgs.scan(streams, with_png=False).select("file", "ord", "pts", "content_width", "content_height", "usable")
 
