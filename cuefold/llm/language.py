@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.llm.codes import fold
+from cuefold.session import spread
 
 #: Labelled segments that profiles are fitted on, at most.
 SAMPLE = 12_000
@@ -229,7 +230,7 @@ def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: Profi
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     rows = df.select(*[F.col(k).alias(f"k{j}") for j, k in enumerate(keys)], F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = ", ".join(f"k{j} {kinds[k]}" for j, k in enumerate(keys)) + f", segments {SEGMENT}"
-    out = rows.mapInPandas(_segmenter(profiles, unit), schema)
+    out = spread(rows).mapInPandas(_segmenter(profiles, unit), schema)
     return out.withColumnsRenamed({f"k{j}": k for j, k in enumerate(keys)})
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.llm.codes import WORD, classes, fold
-from cuefold.session import cut
+from cuefold.session import cut, spread
 
 #: Characters that are turned into words at a time.
 CHUNK = 1_000_000
@@ -367,7 +367,7 @@ def _find_block(corpus: DataFrame, items: Items, kind: str, schema: str, cosine:
     if not len(items.gram_item):
         return None
     size = len(items.vocabulary)
-    scanned = cut(corpus.mapInPandas(_scan(items.vocabulary, items.n), f"ident {kind}, ids binary, word int, n long"))
+    scanned = cut(spread(corpus).mapInPandas(_scan(items.vocabulary, items.n), f"ident {kind}, ids binary, word int, n long"))
     stats = scanned.where("word >= 0").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size + 1)
     counts[stats["word"]] = stats["n"]
