@@ -12,7 +12,7 @@ def cues(spark, raw, name=None, fps=23.976):
 
 
 CASES = {
-    "vtt": ("WEBVTT\n\nNOTE x\n\n1\n00:01.000 --> 00:02.250 line:0\nFixture line\n", [(1.0, 2.25, "Fixture line")]),
+    "vtt": ("WEBVTT\n\nNOTE x\n\n1\n00:01.000 --> 00:02.250 line:0\nA first line\n", [(1.0, 2.25, "A first line")]),
     "srt": ("﻿1\r\n00:00:01,000 --> 00:00:02,000\r\nHi\r\n\r\n2\r\n00:00:03,000-->00:00:04,000 X1:2\r\na\r\nb\r\n", [(1.0, 2.0, "Hi"), (3.0, 4.0, "a\nb")]),
     "srt with [Events] inside": ("1\n00:00:01,000 --> 00:00:02,000\n[Events]\n", [(1.0, 2.0, "[Events]")]),
     "ass": ("[Events]\nFormat: Start, End, Text\nDialogue: 0:00:01.50,0:00:02.00,a,b\nFormat: End, Start, Text\nDialogue: 0:00:04.00,0:00:03.00,c\nFormat: Start, Text\nDialogue: 1,2\n", [(1.5, 2.0, "a,b"), (3.0, 4.0, "c")]),
