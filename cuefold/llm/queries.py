@@ -90,15 +90,24 @@ def p3_found(spark, sf):
     return alike_readings(table(spark, sf, "ocr_result"), IMAGE, "ocr_id", "text").withColumnsRenamed({"a": "ocr_id_a", "b": "ocr_id_b"})
 
 
-def p3_canonical(spark, sf):
-    """Each distinct text of the three cue tables and its consistent form."""
+def _forms(spark, sf, *names):
     texts = None
-    for name in ("cue", "ref_cue", "cand_cue"):
+    for name in names:
         t = table(spark, sf, name).select("text")
         texts = t if texts is None else texts.unionByName(t)
     return with_canonical(texts.where("text is not null").distinct(), "text").select("text", "canonical")
 
 
+def p3_canonical(spark, sf):
+    """Each distinct text of the three cue tables and its consistent form."""
+    return _forms(spark, sf, "cue", "ref_cue", "cand_cue")
+
+
+def p3_forms(spark, sf):
+    """Each distinct text of ocr_result and the three cue tables and the one consistent form over all four."""
+    return _forms(spark, sf, "ocr_result", "cue", "ref_cue", "cand_cue")
+
+
 def _runs(spark, sf):
     return collapse_runs(table(spark, sf, "cue"), "file", "ord", "text", millis("start"), millis("end"))
 
@@ -160,7 +169,7 @@ def p8_found(spark, sf):
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_tracks": p2_tracks, "p2_segments": p2_segments,
-    "p2_documents": p2_documents, "p3_found": p3_found, "p3_canonical": p3_canonical,
+    "p2_documents": p2_documents, "p3_found": p3_found, "p3_canonical": p3_canonical, "p3_forms": p3_forms,
     "p4_found": p4_found, "p4_runs": p4_runs,
     "p6_found": p6_found, "p6_leaks": p6_leaks,
     "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses, "p8_found": p8_found, "p8_pieces": p8_pieces,
@@ -235,6 +244,11 @@ where a.ocr_id < b.ocr_id and a.text <> b.text""",
 with d as (select text from cue union select text from ref_cue union select text from cand_cue),
 m as (select text, {_mapped('text')} m from d where text is not null),
 c as (select m, arg_min(text, row(length(regexp_replace(text, '[\\x20-\\x7E\\n]', '', 'g')), length(text), text)) as canonical from m group by m)
+select text, canonical from m join c using (m)""",
+    "p3_forms": f"""
+with d as (select text from ocr_result union select text from cue union select text from ref_cue union select text from cand_cue),
+m as (select text, {_mapped('text')} m from d where text is not null),
+c as (select m, arg_min(text, row(length(regexp_replace(text, '[\\x20-\\x7E\\n]', '', 'g')), length(text), text)) as canonical from m group by m)
 select text, canonical from m join c using (m)""",
     "p4_found": _P4 + "select file, first_ord, last_ord from r where cues >= 2",
     "p4_runs": _P4 + "select * from r",

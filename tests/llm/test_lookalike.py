@@ -1,6 +1,7 @@
 import pytest
 
 from cuefold.llm import lookalike as L
+from cuefold.llm.queries import p3_forms
 
 SAME = [
     ("Ｏｎｌｙ　４！", "Only 4!"), ("sé", "sé"), ("sе́", "sé"), ("ﬁn ﬀ", "fin ff"), ("a b c　d", "a b c d"), ("a​b­⁠﻿", "ab"),
@@ -42,3 +43,12 @@ def test_readings(spark):
 def test_folding(one):
     assert one(L.folded, "<i>É ｃａfé</i>{\\an8}, ｎ°5!") == "ecafen5"
     assert one(L.folded, " ​\n") is None and one(L.folded, None) is None and one(L.folded, "...") == ""
+
+
+def test_forms_cover_readings_and_cues(spark, tmp_path):
+    """A reading and a cue that look the same have one form; a text only readings have has one too."""
+    for name, texts in (("ocr_result", ["\uff41b", "se\u0301!", None]), ("cue", ["ab"]), ("ref_cue", ["ab", "s\u00e9!"]), ("cand_cue", ["x"])):
+        spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.text: r.canonical for r in p3_forms(spark, str(tmp_path)).collect()}
+    assert set(got) == {"\uff41b", "ab", "se\u0301!", "s\u00e9!", "x"}
+    assert got["\uff41b"] == got["ab"] == "ab" and got["se\u0301!"] == got["s\u00e9!"]
