@@ -374,21 +374,39 @@ def job_progress(spark, sf):
     return p.select(*_PROGRESS, F.round("duration_ms", 3).alias("duration_ms"))
 
 
-def job_progress_stream(spark, sf):
-    """The same from a stream, run until all that is there was read; its state is kept in the shared folder."""
+def _streamed(spark, sf, operator):
+    """``operator`` of the events from a stream, run until all that is there was read; its state is kept in the shared folder."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/progress-{uuid.uuid4().hex}"
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
-    p = progress.job_progress(progress.parse_events(_event_lines(stream)))
+    p = operator(progress.parse_events(_event_lines(stream)))
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{base}/out")
 
     q = p.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.schema(p.schema).parquet(f"{base}/out")
-    return out.select(*_PROGRESS, F.round("duration_ms", 3).alias("duration_ms"))
+    return spark.read.schema(p.schema).parquet(f"{base}/out")
+
+
+def job_progress_stream(spark, sf):
+    """The same from a stream."""
+    return _streamed(spark, sf, progress.job_progress).select(*_PROGRESS, F.round("duration_ms", 3).alias("duration_ms"))
+
+
+def _outputs(outputs):
+    return progress.in_order(outputs).select("job", "position", "output", F.unix_millis("first_finished").alias("first_ms"))
+
+
+def job_outputs(spark, sf):
+    """The distinct outputs of each job's finished events, in order of first finish."""
+    return _outputs(progress.job_outputs(progress.parse_events(_event_lines(table(spark, sf, "events")))))
+
+
+def job_outputs_stream(spark, sf):
+    """The same from a stream."""
+    return _outputs(_streamed(spark, sf, progress.job_outputs))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -396,5 +414,6 @@ QUERIES = {f.__name__: f for f in (
     plan_clashes, skip_existing, pair_idx_sub, language_groups, cache_lookup, cache_store, queue_upsert, even_sample, engine_probe, candidate_select,
     reading_flags, line_regroup, command_output, batch_defaults, engine_failures, histogram256, repair_decisions, reading_order, listing_pairs,
     fixture_gaps, csv_report, json_report, inspection_manifest, inspection_limits, unique_names, batch_outcomes, pgs_decode, png_roundtrip, job_progress, job_progress_stream,
+    job_outputs, job_outputs_stream,
 )}
 ORACLE = media_sql.ORACLE

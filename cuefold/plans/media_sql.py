@@ -190,3 +190,7 @@ ORACLE = {
       from events where event_type in ('signup', 'purchase', 'error') group by 1""",
 }
 ORACLE["job_progress_stream"] = ORACLE["job_progress"]
+ORACLE["job_outputs"] = """with o as (select user_id::varchar as job, props as output, min(epoch_us(ts) // 1000) as first_ms
+      from events where event_type = 'purchase' and props <> '' group by 1, 2)
+      select job, row_number() over (partition by job order by first_ms, output) as position, output, first_ms from o"""
+ORACLE["job_outputs_stream"] = ORACLE["job_outputs"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuefold.operators.blocked import numbered
+
 EVENT = "type string, timestamp string, job string, input string, output string, duration_ms double"
 
 
@@ -26,18 +28,41 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def job_progress(events: DataFrame) -> DataFrame:
-    """Per job: how many started, finished and failed, outputs of the finished, and whether it ever failed.
+    """Per job: how many started, finished and failed, and whether it ever failed.
 
-    Works on a stream (update or complete mode) and on a batch alike.
+    Works on a stream (update or complete mode) and on a batch alike.  The outputs are
+    rows of :func:`job_outputs`.
     """
     kind = F.col("type")
     return events.groupBy("job").agg(
         F.count_if(kind == "started").alias("started"), F.count_if(kind == "finished").alias("finished"), F.count_if(kind == "failed").alias("failed"),
-        F.approx_count_distinct(F.when(kind == "finished", F.col("output"))).alias("outputs"),
         F.max(kind == "failed").alias("has_failed"), F.max("timestamp").alias("last_event"), F.sum("duration_ms").alias("duration_ms"),
     )
 
 
+def job_outputs(events: DataFrame) -> DataFrame:
+    """``job, output, first_finished``: each distinct non-empty output of a job's finished events.
+
+    Exact; works on a stream (update or complete mode) and on a batch alike.  Rows, as a job
+    may have any number of outputs.
+    """
+    done = events.where("type = 'finished' and output <> ''")
+    return done.groupBy("job", "output").agg(F.min("timestamp").alias("first_finished"))
+
+
+def in_order(outputs: DataFrame) -> DataFrame:
+    """Rows of :func:`job_outputs` (a batch) with ``position``, from 1, in order of first finish.
+
+    Outputs of the same instant follow by name; those without a time come last.
+    """
+    last = F.lit(2**62)
+    rows = outputs.withColumn("_at", F.coalesce(F.unix_micros("first_finished"), last)).withColumn(
+        "_job", F.coalesce(F.concat(F.lit("="), "job"), F.lit(""))
+    )
+    day = F.floor(F.col("_at") / 86_400_000_000)
+    return numbered(rows, ["_job"], day, ["_at", "output"], "position").drop("_at", "_job")
+
+
 def eta_ms(done: Column, total: Column, elapsed_ms: Column) -> Column:
     """Remaining time at the throughput so far, null before the first result."""
     return F.when(done > 0, F.floor(elapsed_ms / done * (total - done) + 0.5))
