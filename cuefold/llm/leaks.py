@@ -8,8 +8,8 @@ candidate is checked on its words: the longest run of consecutive words shared
 with the item and the longest common subsequence.
 
 The corpus is read once.  What later steps need is written to the checkpoint folder:
-document counts of words, and the word numbers of documents with a passage that
-holds as many item words as a leak needs.
+document counts of words, and the word numbers of documents with item words.
+The SVD is fitted on those with a passage that holds as many as a verbatim leak needs.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ class Items:
         return cls([i for i, _ in rows], words, vocabulary, n, np.array([k for k, _ in grams], np.int64), table, hashed)
 
 
-def _scan(vocabulary: np.ndarray, n: int):
+def _scan(vocabulary: np.ndarray, n: int, rewordings: bool):
     """Documents to rows: word counts by number, and documents that may hold a leak."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,12 +144,12 @@ def _scan(vocabulary: np.ndarray, n: int):
                 passages += len(np.unique(step))
                 per_step = np.bincount(step[seen], minlength=(b - a) * longest)
                 enough = per_step + np.append(per_step[1:], 0) >= n
-                docs = np.unique(np.flatnonzero(enough) // longest)
+                docs = np.unique(np.flatnonzero(per_step if rewordings else enough) // longest)
                 if len(docs):
                     yield pd.DataFrame({
                         "ident": [idents[a + k] for k in docs],
                         "ids": [ids[bounds[k] : bounds[k + 1]].tobytes() for k in docs],
-                        "word": -1, "n": 0,
+                        "word": -1, "n": np.isin(docs, np.flatnonzero(enough) // longest).astype(np.int64),
                     })
                 a = b
         words = np.append(np.flatnonzero(counts), len(vocabulary))
@@ -158,11 +158,11 @@ def _scan(vocabulary: np.ndarray, n: int):
     return run
 
 
-def _passages(ids: np.ndarray, n: int) -> np.ndarray:
-    """First word of each passage of 2n words, n apart, with at least n item words."""
+def _passages(ids: np.ndarray, n: int, least: int) -> np.ndarray:
+    """First word of each passage of 2n words, n apart, with at least ``least`` item words."""
     steps = -(-len(ids) // n)
     per_step = np.bincount(np.flatnonzero(ids >= 0) // n, minlength=steps)
-    return np.flatnonzero(per_step + np.append(per_step[1:], 0) >= n) * n
+    return np.flatnonzero(per_step + np.append(per_step[1:], 0) >= least) * n
 
 
 def _rows(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -192,7 +192,7 @@ def _gram_product(idf: np.ndarray, basis: np.ndarray, n: int):
         for pdf in batches:
             for raw in pdf["ids"]:
                 ids = np.frombuffer(raw, np.int32)
-                rows = _rows(ids, _passages(ids, n), n)
+                rows = _rows(ids, _passages(ids, n, n), n)
                 y = _vectors(rows, idf, basis)
                 for k in range(rows.shape[1]):
                     np.add.at(total, rows[:, k], y)
@@ -249,6 +249,12 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def kept_share(own: np.ndarray, ids: np.ndarray, places: list[int], n: int) -> float:
+    """The best share of the item's words that is kept in order around one of ``places``."""
+    around = (ids[max(0, place - len(own)) : place + 2 * n + len(own)] for place in places)
+    return max(common_subsequence(own, near) for near in around) / len(own)
+
+
 def _longest_run(ids: np.ndarray, own: np.ndarray, n: int, hashes: np.ndarray, mine: np.ndarray) -> int:
     """Words of the longest run of n or more that ``own`` shares with ``ids``; 0 if none.
 
@@ -267,9 +273,12 @@ def _longest_run(ids: np.ndarray, own: np.ndarray, n: int, hashes: np.ndarray, m
     return best
 
 
-def _candidates(docs: list[np.ndarray], n: int, present: np.ndarray, first: np.ndarray, grams: np.ndarray, idf, basis, cosine):
-    """(document, item, cosine, place of the best passage) of all pairs with a near passage."""
-    at = [_passages(ids, n) for ids in docs]
+def _candidates(docs: list[np.ndarray], n: int, present: np.ndarray, first: np.ndarray, grams: np.ndarray, idf, basis, cosine, rewordings):
+    """(document, item, cosine, places of the passages above ``PARAPHRASE_COSINE``) of all pairs with a near passage.
+
+    A passage with fewer than n item words holds no verbatim run, so it counts from ``PARAPHRASE_COSINE`` on.
+    """
+    at = [_passages(ids, n, 1 if rewordings else n) for ids in docs]
     owner = np.repeat(np.arange(len(docs)), [len(x) for x in at])
     if not len(owner):
         return
@@ -282,22 +291,27 @@ def _candidates(docs: list[np.ndarray], n: int, present: np.ndarray, first: np.n
     where = place + shift[owner]
     found = []
     for a in range(0, len(where), 2048):
-        near = _normed(_vectors(every[where[a : a + 2048, None] + np.arange(2 * n)], idf, basis)) @ grams.T
+        rows = every[where[a : a + 2048, None] + np.arange(2 * n)]
+        near = _normed(_vectors(rows, idf, basis)) @ grams.T
         per_item = np.maximum.reduceat(near, first, axis=1)
-        p, k = np.nonzero(per_item >= cosine)
+        least = np.where((rows >= 0).sum(1) >= n, cosine, max(cosine, PARAPHRASE_COSINE))
+        p, k = np.nonzero(per_item >= least[:, None])
         found.append((owner[a + p], k, per_item[p, k], place[a + p]))
     doc, item, c, place = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((place, -c, item, doc))
     doc, item, c, place = doc[order], item[order], c[order], place[order]
     best = np.flatnonzero(np.diff(doc * len(present) + item, prepend=-1))
-    yield from zip(doc[best].tolist(), item[best].tolist(), c[best].tolist(), place[best].tolist(), strict=True)
+    for a, b in zip(best.tolist(), np.append(best[1:], len(doc)).tolist(), strict=True):
+        # The best passage always counts, as a verbatim run may be near it.
+        alike = [place[a], *place[a + 1 : b][c[a + 1 : b] >= PARAPHRASE_COSINE]]
+        yield int(doc[a]), int(item[a]), float(c[a]), [int(x) for x in alike]
 
 
 #: Words of documents whose passages are compared at a time.
 BATCH_WORDS = 400_000
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
+def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, rewordings: bool):
     n = items.n
     first = np.flatnonzero(np.diff(items.gram_item, prepend=-1))
     present = items.gram_item[first]
@@ -314,15 +328,14 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
                     size += len(docs[b])
                     b += 1
                 out, hashed = [], (-1, None)
-                for d, k, c, place in _candidates(docs[a:b], n, present, first, grams, idf, basis, cosine):
+                for d, k, c, places in _candidates(docs[a:b], n, present, first, grams, idf, basis, cosine, rewordings):
                     ids, own = docs[a + d], items.words[present[k]]
                     if hashed[0] != d:
                         hashed = (d, gram_hashes(ids, n))
                     run_words = _longest_run(ids, own, n, hashed[1], mine[present[k]])
-                    if not run_words and c < PARAPHRASE_COSINE:
+                    if not run_words and (c < PARAPHRASE_COSINE or not rewordings):
                         continue
-                    lcs = common_subsequence(own, ids[max(0, place - len(own)) : place + 2 * n + len(own)])
-                    out.append((items.ids[present[k]], idents[a + d], c, run_words, lcs / len(own)))
+                    out.append((items.ids[present[k]], idents[a + d], c, run_words, kept_share(own, ids, places, n) if rewordings else None))
                 if out:
                     yield pd.DataFrame(out, columns=["item", "ident", "cosine", "run_words", "kept"])
                 a = b
@@ -332,15 +345,16 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float):
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, ident: str, text: str, item_ident: str, item_text: str,
-    min_words: int = 12, cosine: float = COSINE,
+    min_words: int = 12, cosine: float = COSINE, rewordings: bool = True,
 ) -> DataFrame:
     """Pairs of item and document that share a run of words or are near in meaning.
 
     Result: ``item``, ``ident``, ``cosine`` (of the document's best passage to the item's
     best run), ``run_words`` (longest run of at least ``min_words`` consecutive words of the
-    item, else 0) and ``kept`` (longest common subsequence around the best passage as a
-    share of the item's words).  Candidates without such a run and with a cosine under
-    ``PARAPHRASE_COSINE`` are left out.
+    item, else 0) and ``kept`` (longest common subsequence around any passage above
+    ``PARAPHRASE_COSINE`` as a share of the item's words).  Candidates without such a run and with a cosine under
+    ``PARAPHRASE_COSINE`` are left out.  Without ``rewordings`` only shared runs are looked
+    for, which costs far less, and ``kept`` is null.
 
     Letter case, punctuation, markup, line breaks, cue numbers, cue timing and look-alike
     characters between and in words don't matter.  Null texts hold nothing, items of fewer
@@ -357,25 +371,26 @@ def find_leaks(
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         rows = bank.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        found = _find_block(corpus, Items.of([tuple(r) for r in rows], min_words), kinds["ident"], schema, cosine)
+        found = _find_block(corpus, Items.of([tuple(r) for r in rows], min_words), kinds["ident"], schema, cosine, rewordings)
         if found is not None:
             out = out.unionByName(found)
     return out.groupBy("item", "ident").agg(F.max("cosine").alias("cosine"), F.max("run_words").alias("run_words"), F.max("kept").alias("kept"))
 
 
-def _find_block(corpus: DataFrame, items: Items, kind: str, schema: str, cosine: float) -> DataFrame | None:
+def _find_block(corpus: DataFrame, items: Items, kind: str, schema: str, cosine: float, rewordings: bool) -> DataFrame | None:
     if not len(items.gram_item):
         return None
     size = len(items.vocabulary)
-    scanned = cut(spread(corpus).mapInPandas(_scan(items.vocabulary, items.n), f"ident {kind}, ids binary, word int, n long"))
+    scanned = cut(spread(corpus).mapInPandas(_scan(items.vocabulary, items.n, rewordings), f"ident {kind}, ids binary, word int, n long"))
     stats = scanned.where("word >= 0").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size + 1)
     counts[stats["word"]] = stats["n"]
     # A word of every passage keeps a little weight, so that no item has none at all.
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + LEAST_IDF).astype(np.float32)
-    docs = scanned.where("ids is not null").select("ident", "ids")
+    docs = scanned.where("ids is not null").select("ident", "ids", "n")
     # The fit takes every m-th candidate document by hash, so that about FIT_DOCUMENTS remain.
-    m = max(1, -(-docs.count() // FIT_DOCUMENTS))
-    sample = docs.where(F.pmod(F.xxhash64("ident"), F.lit(m)) == 0).repartition(FIT_TASKS) if m > 1 else docs
+    dense = docs.where("n = 1").drop("n")
+    m = max(1, -(-dense.count() // FIT_DOCUMENTS))
+    sample = dense.where(F.pmod(F.xxhash64("ident"), F.lit(m)) == 0).repartition(FIT_TASKS) if m > 1 else dense
     basis = fit_basis(sample, idf, items)
-    return docs.mapInPandas(_search(items, idf, basis, cosine), schema)
+    return docs.drop("n").mapInPandas(_search(items, idf, basis, cosine, rewordings), schema)

@@ -123,9 +123,13 @@ def p4_runs(spark, sf):
     )
 
 
+def _leaks(spark, sf, rewordings):
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_item"), "doc_id", "text", "item_id", "text", rewordings=rewordings)
+
+
 def p6_leaks(spark, sf):
     """Tainted documents with the items they contain: whole runs of words, or reworded ones."""
-    leaks = find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_item"), "doc_id", "text", "item_id", "text")
+    leaks = _leaks(spark, sf, True)
     return (
         leaks.withColumn("kind", F.when(F.col("run_words") > 0, "run").when(F.col("kept") >= 0.6, "reworded"))
         .where("kind is not null")
@@ -134,7 +138,7 @@ def p6_leaks(spark, sf):
 
 
 def p6_found(spark, sf):
-    return p6_leaks(spark, sf).where("kind = 'run'").select("item_id", "doc_id")
+    return _leaks(spark, sf, False).where("run_words > 0").select(F.col("item").alias("item_id"), F.col("ident").alias("doc_id"))
 
 
 def _mixture(spark, sf):

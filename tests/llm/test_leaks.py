@@ -67,3 +67,23 @@ def test_empty(spark):
 def test_long_document(spark):
     text = "y " * 400_000 + "b c d e f g h i j k l m n " + "z" * 100_000
     assert run(spark, [(1, text)], [(1, "b c d e f g h i j k l m n")])[(1, 1)].run_words == 13
+
+
+def test_rewording_away_from_the_best_passage(spark):
+    """A rewording counts where another passage of a long document has the better cosine."""
+    own = [f"w{k}" for k in range(30)]
+    # All words in another order are the nearer passage, those in order stand far from it.
+    mixed = " ".join(own[:24][::-1])
+    fill = " ".join(f"f{k}" for k in range(300))
+    reworded = " ".join(w if k % 6 else "other" for k, w in enumerate(own))
+    docs = [(1, " ".join([mixed, fill, reworded, fill]))]
+    got = run(spark, docs, [(7, " ".join(own)), (8, " ".join(f"v{k}" for k in range(20)))])
+    assert got[(7, 1)].run_words == 0 and got[(7, 1)].kept >= 0.8
+
+
+def test_thinly_spread_rewording(spark):
+    """Words of the item in order, but never 12 in 24 words of the document."""
+    own = [f"w{k}" for k in range(13)]
+    thin = " ".join(f"{w} x{k} y{k}" for k, w in enumerate(own))
+    got = run(spark, [(1, "z " * 50 + thin + " z" * 50)], [(7, " ".join(own))])
+    assert got[(7, 1)].run_words == 0 and got[(7, 1)].kept == 1.0
