@@ -256,10 +256,12 @@ def repair_decisions(spark, sf):
 
 
 def reading_order(spark, sf):
-    """Sixteen boxes per vector in reading order."""
+    """The boxes of each vector, two values a box, in reading order."""
     e = table(spark, sf, "embeddings")
     box = lambda i: F.struct(F.get("embedding", i * 2).cast("double").alias("y"), F.get("embedding", i * 2 + 1).cast("double").alias("x"), i.cast("int").alias("id"))
-    return e.select("vec_id", F.array_join(F.transform(report.reading_order(F.transform(F.sequence(F.lit(0), F.lit(15)), box)), lambda i: i.cast("string")), ",").alias("ids"))
+    # A vector of fewer than two values has no box; sequence() would count down.
+    boxes = F.filter(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int")), lambda i: i < F.floor(F.size("embedding") / 2))
+    return e.select("vec_id", F.array_join(F.transform(report.reading_order(F.transform(boxes, box)), lambda i: i.cast("string")), ",").alias("ids"))
 
 
 def listing_pairs(spark, sf):
