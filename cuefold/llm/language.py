@@ -234,14 +234,58 @@ def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: Profi
     return out.withColumnsRenamed({f"k{j}": k for j, k in enumerate(keys)})
 
 
-def language_shares(segments: DataFrame, keys: list[str], ident: str, least_share: float) -> DataFrame:
-    """Languages of each group ``keys``: those of at least ``least_share`` of its decided units.
+def _weak_lines(profiles: Profiles, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            units, owner = [], []
+            for k, text in enumerate(pdf["text"]):
+                parts = _lines(text)
+                units += parts
+                owner += [k] * len(parts)
+            found, lead = classify(units, profiles)
+            weak = [j for j, x in enumerate(found) if x >= 0 and not (lead[j] >= STRONG and len(units[j].strip()) >= STRONG_CHARS)]
+            out: dict[str, list] = {}
+            for c in pdf.columns[:width]:
+                values = pdf[c].tolist()
+                out[c] = [values[owner[j]] for j in weak]
+            out |= {"language": [profiles.languages[found[j]] for j in weak], "line": [units[j].strip() for j in weak]}
+            yield pd.DataFrame(out, dtype=object)
 
-    ``segments`` comes from :func:`segment_languages` with ``keys`` and ``ident``, the id of a
-    text; repeated rows of a text count once.  Units of a language with hardly a strong unit
-    in its group are taken for misread ones of the group's main language.
-    Result: ``keys, language, units, share, confidence``.
+    return run
+
+
+def _agreeing(profiles: Profiles, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            found, lead = classify(texts, profiles)
+            own = pdf["language"].tolist()
+            kept = [k for k, t in enumerate(texts) if found[k] >= 0 and profiles.languages[found[k]] == own[k] and lead[k] >= STRONG and len(t) >= STRONG_CHARS]
+            columns = {c: pdf[c].tolist() for c in pdf.columns[: width + 1]}
+            yield pd.DataFrame({c: [v[k] for k in kept] for c, v in columns.items()}, dtype=object)
+
+    return run
+
+
+def weak_voices(texts: DataFrame, segments: DataFrame, keys: list[str], ident: str, text: str, profiles: Profiles, least_share: float) -> DataFrame:
+    """``keys, language``: languages no strong unit backs, but whose weak lines do when they are joined.
+
+    ``segments`` comes from :func:`segment_languages` of ``texts`` by line.  Only groups are read
+    again in which such a language has ``least_share`` of the decided lines.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    wanted = _packed(segments, keys, ident).select(*keys, "total", F.explode(F.filter("all", lambda x: ~_backed(x))).alias("x"))
+    wanted = wanted.where(F.col("x.units") >= least_share * F.col("total") - 1e-9).select(*keys, F.col("x.language").alias("language"))
+    rows = texts.where(F.col(text).isNotNull()).select(*keys, F.col(ident).alias("_id"), F.col(text).alias("text")).distinct()
+    rows = rows.join(wanted.select(*keys).distinct(), keys, "left_semi").drop("_id")
+    columns = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    weak = spread(rows).mapInPandas(_weak_lines(profiles, len(keys)), f"{columns}, language string, line string")
+    joined = weak.join(wanted, [*keys, "language"], "left_semi").groupBy(*keys, "language").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    return joined.mapInPandas(_agreeing(profiles, len(keys)), f"{columns}, language string")
+
+
+def _packed(segments: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """Per group the languages of its texts with their decided and strong units."""
     per_text = segments.groupBy(*keys, ident).agg(F.max("segments").alias("segments"))
     per_language = (
         per_text.select(*keys, F.explode("segments").alias("s")).where("s.language is not null")
@@ -252,11 +296,32 @@ def language_shares(segments: DataFrame, keys: list[str], ident: str, least_shar
         )
     )
     # A group has as many rows here as there are languages.
-    packed = per_language.groupBy(*keys).agg(
+    return per_language.groupBy(*keys).agg(
         F.sum("units").alias("total"), F.sum("strong").alias("strong"), F.max(F.struct("units", "language")).alias("most"),
         F.collect_list(F.struct("language", "units", "strong", "confidence")).alias("all"),
     )
-    backed = lambda x: (x["strong"] >= SUPPORT * F.col("strong")) | (x["language"] == F.col("most.language"))
+
+
+def _backed(x):
+    """Whether strong units back the language of an entry of ``all``, or it is the main one."""
+    return (x["strong"] >= SUPPORT * F.col("strong")) | (x["language"] == F.col("most.language"))
+
+
+def language_shares(segments: DataFrame, keys: list[str], ident: str, least_share: float, voices: DataFrame | None = None) -> DataFrame:
+    """Languages of each group ``keys``: those of at least ``least_share`` of its decided units.
+
+    ``segments`` comes from :func:`segment_languages` with ``keys`` and ``ident``, the id of a
+    text; repeated rows of a text count once.  Units of a language with hardly a strong unit
+    in its group are taken for misread ones of the group's main language, unless ``voices``
+    (see :func:`weak_voices`) names it.
+    Result: ``keys, language, units, share, confidence``.
+    """
+    packed = _packed(segments, keys, ident)
+    heard = F.array().cast("array<string>")
+    if voices is not None:
+        packed = packed.join(voices.groupBy(*keys).agg(F.collect_set("language").alias("heard")), keys, "left")
+        heard = F.coalesce("heard", heard)
+    backed = lambda x: _backed(x) | F.array_contains(heard, x["language"])
     stray = F.aggregate(F.filter("all", lambda x: ~backed(x)), F.lit(0).cast("long"), lambda a, x: a + x["units"])
     return (
         packed.select(*keys, "total", "most", stray.alias("stray"), F.explode(F.filter("all", backed)).alias("x"))

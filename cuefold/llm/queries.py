@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuefold.llm.language import fit_profiles, label_cases, language_of_code, language_shares, segment_languages
+from cuefold.llm.language import fit_profiles, label_cases, language_of_code, language_shares, segment_languages, weak_voices
 from cuefold.llm.leaks import find_leaks
 from cuefold.llm.lookalike import alike_readings, folding, tables, translation, with_canonical
 from cuefold.llm.nearest import nearest_in_time
@@ -12,7 +12,7 @@ from cuefold.llm.mixture import mix_sources
 from cuefold.llm.runs import collapse_runs
 from cuefold.llm.split import split_oversized
 from cuefold.llm.tokens import TOKEN, token_count
-from cuefold.session import millis, table
+from cuefold.session import cut, millis, table
 
 TOLERANCE_MS = 250
 IMAGE = ["file", "track_id", "ord"]
@@ -61,7 +61,10 @@ def _track_segments(spark, sf):
 
 def p2_tracks(spark, sf):
     """The languages of each track with their share of its lines and a confidence."""
-    return language_shares(_track_segments(spark, sf), TRACK, "ocr_id", LEAST_SHARE)
+    lines, profiles = table(spark, sf, "ocr_result"), _track_profiles(spark, sf)
+    segments = cut(segment_languages(lines, [*TRACK, "ord", "ocr_id"], "text", profiles))
+    voices = weak_voices(lines, segments, TRACK, "ocr_id", "text", profiles, LEAST_SHARE)
+    return language_shares(segments, TRACK, "ocr_id", LEAST_SHARE, voices)
 
 
 def p2_found(spark, sf):

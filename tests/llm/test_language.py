@@ -69,3 +69,18 @@ def test_no_labels(spark):
     profiles = G.fit_profiles(empty, "text", "label")
     df = spark.createDataFrame([(1, "some words")], "id int, text string")
     assert [s.language for s in G.segment_languages(df, ["id"], "text", profiles).first().segments] == [None]
+
+
+def test_short_lines_back_their_language_together(spark):
+    """A second language that fills a fifth of a track with lines under 20 characters belongs to it."""
+    profiles = G.fit_profiles(lines(spark), "text", "label", 3000)
+    long = ["Nobody believes what the captain wrote about the letter", "The old keeper lost the medicine in the harbour", "She told the driver that the lantern was returned"] * 4
+    short = ["Je ne sais pas", "Où est la clé ?", "Il est parti", "Avec ma soeur", "Le boulanger", "C'est pour vous"]
+    rows = [("f", k, t) for k, t in enumerate(long + short)] + [("g", 100 + k, t) for k, t in enumerate(long)] + [("f", 0, long[0])]
+    df = spark.createDataFrame(rows, "file string, ocr_id int, text string")
+    segments = G.segment_languages(df, ["file", "ocr_id"], "text", profiles)
+    voices = G.weak_voices(df, segments, ["file"], "ocr_id", "text", profiles, 0.2)
+    alone = {(r.file, r.language) for r in G.language_shares(segments, ["file"], "ocr_id", 0.2).collect()}
+    assert alone == {("f", "eng"), ("g", "eng")}
+    got = {(r.file, r.language) for r in G.language_shares(segments, ["file"], "ocr_id", 0.2, voices).collect()}
+    assert got == {("f", "eng"), ("f", "fre"), ("g", "eng")}
