@@ -21,6 +21,19 @@ def sse_frame(line: Column) -> Column:
     return F.concat(F.lit("event: "), F.get_json_object(line, "$.type"), F.lit("\ndata: "), line, F.lit("\n\n"))
 
 
+def parse_frames(frames: DataFrame, value: str = "value") -> DataFrame:
+    """Events of server-sent frames, parted by blank lines; the event name of a frame overrides the type of its data.
+
+    Data that are no JSON leave an event of its name alone; frames with neither name nor type are
+    left out.  A frame must not be spread over rows: read a stream with ``lineSep`` of a blank line.
+    """
+    part = lambda name: F.nullif(F.regexp_extract("f", rf"(?m)^{name}:\s*(.+)$", 1), F.lit(""))
+    rows = frames.select(F.explode(F.split(F.col(value), "\n\n")).alias("f")).select(part("event").alias("name"), part("data").alias("data"))
+    e = F.when(F.try_parse_json("data").isNotNull(), F.from_json("data", EVENT))
+    rows = rows.select("name", e.alias("e")).select(F.coalesce("name", "e.type").alias("type"), *[F.col(f"e.{c}") for c in ("timestamp", "job", "input", "output", "duration_ms")])
+    return rows.where("type is not null").withColumn("timestamp", F.to_timestamp("timestamp"))
+
+
 def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Events of lines that are JSON with a type; other lines are left out."""
     e = F.from_json(F.trim(F.col(value)), EVENT)
