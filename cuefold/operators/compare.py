@@ -156,6 +156,31 @@ def top_per_file(mismatches: DataFrame, k: int = 100) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(*order))).where(F.col("rank") <= k).drop("salt", "r")
 
 
+def details(ref: DataFrame, cand: DataFrame, gaps: DataFrame, k: int = 100, tolerance: float = TOLERANCE) -> DataFrame:
+    """What the counts of :func:`summaries` consist of, a row each, by ``kind``.
+
+    ``missing``, ``extra``, ``unverified``, ``end_mismatch``, ``shifted`` and, the ``k`` worst of a
+    file with their ``rank``, ``text_mismatch``.  Columns: ``file, kind, rank, ref_id, cand_id,
+    edit_distance, reference_characters, cer, shift, similarity``; null where a kind has none.
+    """
+    paired = cut(pairing(ref, cand, tolerance))
+    known = ref.select("file").distinct().withColumn("known", F.lit(True))
+    extras = inside_gap(extra(cand, paired), gaps).join(known, "file", "left")
+    texts = top_per_file(ranked_mismatches(paired), k).withColumn("reference_characters", F.length("ref_text"))
+    ends = paired.where(F.col("cand_id").isNotNull() & (F.abs(F.col("cand_end") - F.col("ref_end")) > tolerance))
+    parts = [
+        missing(paired).select("file", F.lit("missing").alias("kind"), "ref_id"),
+        extras.select("file", F.when(F.col("known").isNull() | F.col("in_gap"), "unverified").otherwise("extra").alias("kind"), F.col("id").alias("cand_id")),
+        ends.select("file", F.lit("end_mismatch").alias("kind"), "ref_id", "cand_id"),
+        shifted(paired, cand).select("file", F.lit("shifted").alias("kind"), "ref_id", "cand_id", "shift", "similarity"),
+        texts.select("file", F.lit("text_mismatch").alias("kind"), "rank", "ref_id", "cand_id", "edit_distance", "reference_characters", "cer"),
+    ]
+    out = parts[-1]
+    for p in parts[:-1]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def top_overall(mismatches: DataFrame, k: int) -> DataFrame:
     """The ``k`` worst mismatches of all files, counted by file."""
     worst = mismatches.orderBy(F.desc("edit_distance"), F.desc("cer"), F.asc("file"), F.asc("ref_id")).limit(k)

@@ -31,6 +31,16 @@ def pair_details(spark, sf):
     return M.pairing(ref, cand).select("file", "ref_id", "cand_id", "edit_distance")
 
 
+def comparison_details(spark, sf):
+    """The rows behind the summary with the cues of both sides as they stand in the tables."""
+    ref, cand = _tracks(spark, sf)
+    out = M.details(ref, cand, _gaps(ref))
+    for name, p in (("ref_cue", "ref"), ("cand_cue", "cand")):
+        cues = table(spark, sf, name).dropDuplicates(["cue_id"])
+        out = out.join(cues.select(F.col("cue_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("index", "number", "start", "end", "timing", "text")]), f"{p}_id", "left")
+    return out
+
+
 def missing_cues(spark, sf):
     ref, cand = _tracks(spark, sf)
     return M.missing(M.pairing(ref, cand)).select("file", "ref_id", "ref_start")
@@ -77,6 +87,6 @@ def frame_targets(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pair, pair_details, missing_cues, extra_cues, shifted_matches, benchmark_summary, text_mismatch_topk, global_topk_regroup, quality_gate, frame_targets,
+    pair, pair_details, comparison_details, missing_cues, extra_cues, shifted_matches, benchmark_summary, text_mismatch_topk, global_topk_regroup, quality_gate, frame_targets,
 )}
 ORACLE = scoring_sql.ORACLE

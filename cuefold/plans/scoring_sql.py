@@ -99,3 +99,12 @@ ORACLE = {
         case when character_error_rate > 0.01 then 'CER ' || printf('%.2f%%', character_error_rate * 100) || ' > 1.00%' end], lambda z: z is not null) fs from r, c where file = 'TOTAL')
       select true as enabled, len(fs) = 0 as passed, array_to_string(fs, '; ') as failures from f""",
 }
+_CUE = 'select distinct cue_id, index, number, "start", "end", timing, text from'
+ORACLE["comparison_details"] = PAIRED + f""", k as (select *, row_number() over (partition by file order by edit_distance desc, cer desc, ref_ord, ref_id) as rank from mm),
+d as (select file, 'missing' as kind, null::bigint as rank, ref_id, null::bigint as cand_id, null::bigint as edit_distance, null::bigint as reference_characters, null::double as cer, null::double as shift, null::double as similarity from p where cand_id is null
+  union all select file, case when in_gap or file not in (select file from ref) then 'unverified' else 'extra' end, null, null, id, null, null, null, null, null from x
+  union all select file, 'end_mismatch', null, ref_id, cand_id, null, null, null, null, null from p where cand_id is not null and abs(cand_end - ref_end) > 0.04::double
+  union all select file, 'shifted', null, ref_id, cand_id, null, null, null, shift, similarity from shift
+  union all select file, 'text_mismatch', rank, ref_id, cand_id, edit_distance, length(ref_text), cer, null, null from k where rank <= 100)
+select d.*, {', '.join(f'{a}."{c}" as {p}_{c}' for a, p in (('r', 'ref'), ('c', 'cand')) for c in ('index', 'number', 'start', 'end', 'timing', 'text'))}
+from d left join ({_CUE} ref_cue) r on r.cue_id = d.ref_id left join ({_CUE} cand_cue) c on c.cue_id = d.cand_id"""
