@@ -41,8 +41,8 @@ def test_readings(spark):
 
 
 def test_folding(one):
-    assert one(L.folded, "<i>É ｃａfé</i>{\\an8}, ｎ°5!") == "ecafen5"
-    assert one(L.folded, " ​\n") is None and one(L.folded, None) is None and one(L.folded, "...") == ""
+    assert one(lambda c: L.bare(L.mapped(c)), "<i>É ｃａfé</i>{\\an8}, ｎ°5!") == "ecafen5"
+    assert one(lambda c: L.bare(L.mapped(c)), " ​\n") is None and one(lambda c: L.bare(L.mapped(c)), None) is None and one(lambda c: L.bare(L.mapped(c)), "...") == ""
 
 
 def test_forms_cover_readings_and_cues(spark, tmp_path):

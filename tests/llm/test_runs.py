@@ -65,3 +65,21 @@ def test_folding_times_and_edges(spark):
 def test_long_texts(spark):
     df = spark.createDataFrame([("f", 1, 0, 1, "x" * 200_000, 1, "x"), ("f", 2, 1, 2, "x" * 200_000, 1, "x"), ("f", 3, 2, 3, "y", 1, "x")], SCHEMA)
     assert {(r.first, r.last) for r in collapse_runs(df, "file", "ord", "text", F.col("s"), F.col("e")).collect()} == {(1, 2), (3, 3)}
+
+
+def test_a_line_that_returns_is_a_run_of_its_own(spark):
+    """Both runs of A have one canonical value; only the difference of row numbers parts them."""
+    a, near_a, b = "the lantern was lost", "the lantern was lust", "nobody came home again"
+    df = spark.createDataFrame([("f", k, k, k + 1, t, 1, "x") for k, t in enumerate([a, near_a, b, a, a, b, None, b])], SCHEMA)
+    got = {(r.first, r.last, r.n) for r in collapse_runs(df, "file", "ord", "text", F.col("s"), F.col("e")).collect()}
+    assert got == {(0, 1, 2), (2, 2, 1), (3, 4, 2), (5, 5, 1), (7, 7, 1)}
+
+
+def test_chain_that_drifts_back_to_its_first_text(spark):
+    """Each is near the one before, yet the last is far from the first, which then comes again."""
+    steps = ["a" * 20, "a" * 18 + "bb", "a" * 16 + "bbbb", "a" * 14 + "b" * 6]
+    texts = steps * 3
+    for block in (3, 5, 4096):
+        df = spark.createDataFrame([("f", k, k, k + 1, t, 1, "x") for k, t in enumerate(texts)], SCHEMA)
+        got = {(r.first, r.last, r.n) for r in collapse_runs(df, "file", "ord", "text", F.col("s"), F.col("e"), block).collect()}
+        assert got == {(0, 3, 4), (4, 7, 4), (8, 11, 4)}
