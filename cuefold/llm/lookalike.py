@@ -12,6 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuefold.session import cut
+
 # Letters of other scripts and the Latin letter each looks like.
 CONFUSABLE = {
     # Cyrillic capitals and small letters
@@ -86,6 +88,9 @@ def folding() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+#: Images that may hold a pair are broadcast up to this many; beyond, both sides are shuffled.
+MOST_IMAGES = 200_000
+
 _NOT_PLAIN = r"[^\x20-\x7E\n]"
 
 
@@ -115,29 +120,35 @@ def bare(shape: Column) -> Column:
     return F.when(shape.rlike(r"\S"), F.when(shape.rlike(_NOT_PLAIN), any_letters).otherwise(plain))
 
 
-def canonical_forms(texts: DataFrame, text: str) -> DataFrame:
-    """(text, canonical): each distinct non-null text and the member that stands for its class.
+def canonical_forms(texts: DataFrame, text: str, within: list[str] | None = None, several: bool = False) -> DataFrame:
+    """(within, text, canonical): each distinct non-null text and the member that stands for its class.
 
     Look-alike-mapped texts are grouped under the accent-sensitive ``UNICODE``
     collation, so canonically equivalent sequences and characters without weight
     compare equal while case and accents separate.  The member with the fewest
     characters beyond plain ASCII, then the shortest, then the smallest, is canonical.
+    Classes are those of the rows equal in the columns ``within``, else of all rows;
+    ``several`` leaves out classes of a single text.
     """
-    spark = texts.sparkSession
-    distinct = texts.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.lit(1).alias("one"))
-    keyed = distinct.select("text", mapped(F.col("text")).alias("shape"))
+    spark, keys = texts.sparkSession, within or []
+    keyed = (
+        texts.where(F.col(text).isNotNull()).groupBy(*keys, F.col(text).alias("text")).agg(F.lit(1).alias("one"))
+        .select(*keys, "text", mapped(F.col("text")).alias("shape"))
+    )
+    grouped = "".join(f"`{k}`, " for k in keys)
     members = spark.sql(
-        """
-        SELECT collate(shape, 'UNICODE') AS shape,
+        f"""
+        SELECT {grouped}collate(shape, 'UNICODE') AS shape,
                min_by(text, struct(length(regexp_replace(text, '[\\\\x20-\\\\x7E\\\\n]', '')), length(text), text)) AS canonical
-        FROM {keyed} GROUP BY collate(shape, 'UNICODE')
+        FROM {{keyed}} GROUP BY {grouped}collate(shape, 'UNICODE') {"HAVING count(*) > 1" if several else ""}
         """,
         keyed=keyed,
     )
+    same = "".join(f"k.`{k}` = m.`{k}` AND " for k in keys)
     return spark.sql(
-        """
-        SELECT k.text, m.canonical FROM {keyed} k JOIN {members} m
-        ON collate(k.shape, 'UNICODE') = m.shape
+        f"""
+        SELECT {"".join(f"k.`{k}`, " for k in keys)}k.text, m.canonical FROM {{keyed}} k JOIN {{members}} m
+        ON {same}collate(k.shape, 'UNICODE') = m.shape
         """,
         keyed=keyed, members=members,
     )
@@ -162,12 +173,27 @@ def alike_readings(readings: DataFrame, image: list[str], reading_id: str, text:
 
     Result: ``a, b`` with a < b, ids of ``reading_id``.  Repeated rows count once;
     rows with a null in ``image`` or in the id belong to no pair.
+
+    Only images with different texts, one of them beyond plain ASCII, can hold a pair
+    (plain texts look the same only if they are), and only those are canonicalised.
+    Spellings of a class are paired first and their readings after, so copies of one
+    text never meet each other.
     """
-    rows = readings.select(*[F.col(c).alias(f"i{k}") for k, c in enumerate(image)], F.col(reading_id).alias("id"), F.col(text).alias("text"))
-    rows = with_canonical(rows.where("text <> ''"), "text")
-    keys = [f"i{k}" for k in range(len(image))] + ["canonical"]
-    # Of a class in an image, only one with several spellings can give pairs.
-    rows = rows.groupBy(*keys, "text", "id").agg(F.lit(1).alias("one")).drop("one")
-    a = rows.withColumnsRenamed({"id": "a", "text": "ta"})
-    b = rows.withColumnsRenamed({"id": "b", "text": "tb"})
-    return a.join(b, keys).where("a < b and ta <> tb").select("a", "b").distinct()
+    keys = [f"i{k}" for k in range(len(image))]
+    rows = (
+        readings.select(*[F.col(c).alias(k) for k, c in zip(keys, image, strict=True)], F.col(reading_id).alias("id"), F.col(text).alias("text"))
+        .where("text <> ''").dropna()
+    )
+    spelt = F.xxhash64("text")
+    several = (
+        rows.groupBy(*keys).agg(F.min(spelt).alias("lo"), F.max(spelt).alias("hi"), F.max(F.col("text").rlike(_NOT_PLAIN)).alias("odd"))
+        .where("lo <> hi and odd").select(*keys)
+    )
+    several = cut(several)
+    if several.count() <= MOST_IMAGES:
+        several = F.broadcast(several)
+    rows = cut(rows.join(several, keys, "left_semi").distinct())
+    forms = cut(canonical_forms(rows, "text", keys, several=True))
+    pairs = forms.withColumnRenamed("text", "ta").join(forms.withColumnRenamed("text", "tb"), [*keys, "canonical"]).where("ta < tb").drop("canonical")
+    a, b = rows.withColumnsRenamed({"id": "a", "text": "ta"}), rows.withColumnsRenamed({"id": "b", "text": "tb"})
+    return pairs.join(a, [*keys, "ta"]).join(b, [*keys, "tb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()

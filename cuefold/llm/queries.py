@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuefold.llm.language import fit_profiles, label_cases, language_of_code, language_shares, segment_languages, weak_voices
 from cuefold.llm.leaks import find_leaks
-from cuefold.llm.lookalike import alike_readings, folding, tables, translation, with_canonical
+from cuefold.llm.lookalike import alike_readings, with_canonical
 from cuefold.llm.nearest import nearest_in_time
 from cuefold.llm.mixture import mix_sources
 from cuefold.llm.runs import collapse_runs
@@ -188,13 +188,25 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Characters that look the same, listed for the SQL alone and not taken from the operator's tables.
+_SPACES = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_UNSEEN = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
+_FOREIGN = {
+    "Latin": "ABCEHIJKMOPSTXYaceijopsxy",
+    "Cyrillic": "\u0410\u0412\u0421\u0415\u041d\u0406\u0408\u041a\u041c\u041e\u0420\u0405\u0422\u0425\u0423\u0430\u0441\u0435\u0456\u0458\u043e\u0440\u0455\u0445\u0443",
+    "Latin of Greek": "ABEZHIKMNOPTYXovi",
+    "Greek": "\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7\u03bf\u03bd\u03b9",
+}
+_JOINED = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u0153": "oe", "\u0152": "OE", "\u00e6": "ae", "\u00c6": "AE"}
+
+
 def _mapped(x: str) -> str:
-    source, target = translation()
-    # DuckDB has no zero character in literals.
-    keep = [(c, target[k] if k < len(target) else "") for k, c in enumerate(source) if c != "\0"]
-    keep.sort(key=lambda p: not p[1])
-    x = f"translate(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), {_quoted(''.join(c for c, _ in keep))}, {_quoted(''.join(t for _, t in keep))})"
-    for c, to in tables()[1].items():
+    """SQL of a text with look-alike characters made one."""
+    wide = "".join(chr(0xFF01 + k) for k in range(94))
+    source = _FOREIGN["Cyrillic"] + _FOREIGN["Greek"] + wide + _SPACES + _UNSEEN
+    target = _FOREIGN["Latin"] + _FOREIGN["Latin of Greek"] + "".join(chr(0x21 + k) for k in range(94)) + " " * len(_SPACES)
+    x = f"translate(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), {_quoted(source)}, {_quoted(target)})"
+    for c, to in _JOINED.items():
         x = f"replace({x}, {_quoted(c)}, {_quoted(to)})"
     return f"nfc_normalize({x})"
 
@@ -213,8 +225,8 @@ j as (select rb.cue_id ref_cue_id, cb.cue_id cand_cue_id, rb.text ref_text, cb.t
 _P4 = f"""
 with c0 as (select distinct * from cue where file is not null and ord is not null),
 c as (select file, ord, text, cast(round("start" * 1000) as bigint) s, cast(round("end" * 1000) as bigint) e, {_mapped('text')} m from c0),
-f as (select *, case when regexp_matches(m, '\\S') then regexp_replace(translate(regexp_replace(m, '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'),
-      {_quoted(folding()[0])}, {_quoted(folding()[1])}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') end fold from c),
+f as (select *, case when regexp_matches(m, '\\S') then regexp_replace(strip_accents(lower(regexp_replace(m, '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'))),
+      '[^\\p{{L}}\\p{{N}}]+', '', 'g') end fold from c),
 l as (select *, lag(fold) over (partition by file order by ord) pf from f),
 k as (select *, case when fold is null or pf is null then 1 when fold = pf then 0
       when 1 - levenshtein(fold, pf) / greatest(length(fold), length(pf)) >= 0.85 then 0 else 1 end br from l),
