@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuefold.llm.language import fit_profiles, label_cases, language_of_code, language_shares, segment_languages, weak_voices
+from cuefold.llm.language import OTHER, count_languages, fit_profiles, label_cases, language_of_code, language_shares, segment_languages
 from cuefold.llm.leaks import find_leaks
 from cuefold.llm.lookalike import alike_readings, with_canonical
 from cuefold.llm.nearest import nearest_in_time
@@ -12,7 +12,7 @@ from cuefold.llm.mixture import mix_sources
 from cuefold.llm.runs import collapse_runs
 from cuefold.llm.split import split_oversized
 from cuefold.llm.tokens import TOKEN, token_count
-from cuefold.session import cut, millis, table
+from cuefold.session import millis, table
 
 TOLERANCE_MS = 250
 IMAGE = ["file", "track_id", "ord"]
@@ -55,38 +55,27 @@ def _track_profiles(spark, sf):
     return fit_profiles(lines.join(labels, TRACK), "text", "label")
 
 
-def _track_segments(spark, sf):
-    return segment_languages(table(spark, sf, "ocr_result"), [*TRACK, "ord", "ocr_id"], "text", _track_profiles(spark, sf))
-
-
 def p2_tracks(spark, sf):
     """The languages of each track with their share of its lines and a confidence."""
-    lines, profiles = table(spark, sf, "ocr_result"), _track_profiles(spark, sf)
-    segments = cut(segment_languages(lines, [*TRACK, "ord", "ocr_id"], "text", profiles))
-    voices = weak_voices(lines, segments, TRACK, "ocr_id", "text", profiles, LEAST_SHARE)
-    return language_shares(segments, TRACK, "ocr_id", LEAST_SHARE, voices)
+    profiles = _track_profiles(spark, sf)
+    counts = count_languages(table(spark, sf, "ocr_result"), TRACK, "ocr_id", "text", profiles, IMAGE)
+    return language_shares(counts, TRACK, profiles, LEAST_SHARE)
 
 
 def p2_found(spark, sf):
-    return label_cases(table(spark, sf, "track"), TRACK, "language_code", p2_tracks(spark, sf))
+    return label_cases(table(spark, sf, "track"), TRACK, "language_code", p2_tracks(spark, sf).where(F.col("language") != OTHER))
 
 
 def p2_segments(spark, sf):
     """The stretches of one language in each reading."""
-    return (
-        _track_segments(spark, sf).select(*TRACK, "ord", "ocr_id", F.explode("segments").alias("s")).distinct()
-        .select(*TRACK, "ord", "ocr_id", F.col("s.first").alias("first_line"), F.col("s.last").alias("last_line"), "s.language", "s.confidence")
-    )
+    segments = segment_languages(table(spark, sf, "ocr_result"), [*TRACK, "ord", "ocr_id"], "text", _track_profiles(spark, sf))
+    return segments.select(*TRACK, "ord", "ocr_id", F.col("first").alias("first_line"), F.col("last").alias("last_line"), "language", "confidence").distinct()
 
 
 def p2_documents(spark, sf):
     """The stretches of one language in each document, by sentence."""
-    docs = table(spark, sf, "documents")
-    return (
-        segment_languages(docs, ["doc_id"], "text", _track_profiles(spark, sf), unit="sentence")
-        .select("doc_id", F.posexplode("segments").alias("segment", "s"))
-        .select("doc_id", "segment", F.col("s.units").alias("sentences"), "s.language", "s.confidence")
-    )
+    segments = segment_languages(table(spark, sf, "documents"), ["doc_id"], "text", _track_profiles(spark, sf), unit="sentence")
+    return segments.select("doc_id", "segment", F.col("units").alias("sentences"), "language", "confidence").distinct()
 
 
 def p3_found(spark, sf):
