@@ -41,8 +41,8 @@ def test_equals_brute_force(spark, monkeypatch):
             text[at:at] = own[a : a + size]
         docs.append((k, " ".join(text)))
     docs += [(900, None), (901, ""), docs[0]]
-    for block in (2000, 7):
-        monkeypatch.setattr(K, "ITEM_BLOCK", block)
+    for tile in (65_536, 50):
+        monkeypatch.setattr(K, "RUN_TILE", tile)
         got = run(spark, docs, items)
         assert {k for k, r in got.items() if r.run_words} == brute(docs, items, 12)
 
