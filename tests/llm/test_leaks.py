@@ -87,3 +87,63 @@ def test_thinly_spread_rewording(spark):
     thin = " ".join(f"{w} x{k} y{k}" for k, w in enumerate(own))
     got = run(spark, [(1, "z " * 50 + thin + " z" * 50)], [(7, " ".join(own))])
     assert got[(7, 1)].run_words == 0 and got[(7, 1)].kept == 1.0
+
+
+def _bank(rng, count):
+    vocabulary = [f"w{k}" for k in range(3000)] + [f"c{k}" for k in range(40)] * 20
+    return vocabulary, [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(20, 70)))) for k in range(count)]
+
+
+def test_recall_of_the_cells(spark, monkeypatch):
+    """With far more cells than are looked into, verbatim leaks are still found (recall against brute force)."""
+    monkeypatch.setattr(K, "CELL_RUNS", 8)
+    monkeypatch.setattr(K, "PROBES", 16)
+    rng = random.Random(8)
+    vocabulary, items = _bank(rng, 400)
+    docs = []
+    for k in range(300):
+        text = rng.choices(vocabulary, k=rng.randrange(40, 200))
+        own = words(rng.choice(items)[1])
+        a, size = rng.randrange(0, len(own) - 12), rng.choice([12, 14, 20])
+        at = rng.randrange(0, len(text) + 1)
+        text[at:at] = own[a : a + size]
+        docs.append((k, " ".join(text)))
+    bank = K.Items.of([(i, t, None) for i, t in items], 12)
+    assert len(bank.starts) // K.CELL_RUNS > 8 * K.PROBES
+    want = brute(docs, items, 12)
+    got = {k for k, r in run(spark, docs, items).items() if r.run_words}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_recall_of_rewordings(spark):
+    """Paraphrases that keep four fifths of an item's words in order, with others put in between."""
+    rng = random.Random(9)
+    vocabulary, items = _bank(rng, 150)
+    docs, want = [], set()
+    for k in range(150):
+        text = rng.choices(vocabulary, k=rng.randrange(40, 200))
+        i, t = items[k]
+        # Every fifth word is another one, so no run of 12 is left.
+        own = [w if n % 5 else rng.choice(["so", "then", "indeed"]) for n, w in enumerate(words(t))]
+        at = rng.randrange(0, len(text) + 1)
+        text[at:at] = own
+        docs.append((k, " ".join(text)))
+        want.add((i, k))
+    got = {k for k, r in run(spark, docs, items).items() if r.kept >= 0.6}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_answers(spark):
+    """An answer counts where it stands near the passage, null where an item has none."""
+    own = " ".join(f"w{k}" for k in range(20))
+    far = " ".join(f"z{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, f"{own} the answer is Ｂlue whale"), (2, f"{own} {far} blue whale"), (3, own)], "doc_id int, text string")
+    items = spark.createDataFrame([(7, own, "blue whale"), (8, own, None)], "item_id int, text string, answer string")
+    got = {(r.item, r.ident): r.answered for r in K.find_leaks(docs, items, "doc_id", "text", "item_id", "text", item_answer="answer").collect()}
+    assert got == {(7, 1): True, (7, 2): False, (7, 3): False, (8, 1): None, (8, 2): None, (8, 3): None}
+
+
+def test_repeated_word(spark):
+    """A run longer than what is compared at a time keeps its length."""
+    got = run(spark, [(1, "x " + "a " * 9000 + "y")], [(1, "a " * 5000), (2, "b " * 20)])
+    assert {k: r.run_words for k, r in got.items()} == {(1, 1): 5000}
