@@ -8,11 +8,11 @@ from cuefold.llm.language import OTHER, count_languages, fit_profiles, label_cas
 from cuefold.llm.leaks import find_leaks
 from cuefold.llm.lookalike import alike_readings, with_canonical
 from cuefold.llm.nearest import nearest_in_time
-from cuefold.llm.mixture import mix_sources
+from cuefold.llm.mixture import mix_plan, mix_sources
 from cuefold.llm.runs import collapse_runs
 from cuefold.llm.split import split_oversized
 from cuefold.llm.tokens import TOKEN, token_count
-from cuefold.session import millis, table
+from cuefold.session import millis, spread, table
 
 TOLERANCE_MS = 250
 IMAGE = ["file", "track_id", "ord"]
@@ -133,12 +133,19 @@ def p6_found(spark, sf):
     return _leaks(spark, sf, False).where("run_words > 0").select(F.col("item").alias("item_id"), F.col("ident").alias("doc_id"))
 
 
+def p6_runs(spark, sf):
+    """As p6_found, with the length of the longest shared run of words."""
+    return _leaks(spark, sf, False).where("run_words > 0").select(F.col("item").alias("item_id"), F.col("ident").alias("doc_id"), F.col("run_words").cast("long").alias("run_words"))
+
+
 def _mixture(spark, sf):
     return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_target"), "doc_id", "source", token_count(F.col("text")))
 
 
 def p7_found(spark, sf):
-    return _mixture(spark, sf)[1].where("falls_short").select("source")
+    """The sources that fall short, from the plan of the mixture: nothing has to be drawn for it."""
+    docs = spread(table(spark, sf, "documents")).select("source", token_count(F.col("text")).alias("tokens"))
+    return mix_plan(docs, table(spark, sf, "mix_target"), "source").where("falls_short").select("source")
 
 
 def p7_report(spark, sf):
@@ -151,6 +158,27 @@ def p7_uses(spark, sf):
     return _mixture(spark, sf)[0].withColumnRenamed("ident", "doc_id")
 
 
+_WANTED = F.least(F.col("weight") * F.col("budget"), (F.col("max_uses") * F.col("tokens")).cast("double"))
+
+
+def p7_targets(spark, sf):
+    """Per source what is wanted of it, and whether the drawn uses miss that by no more than its longest document."""
+    uses, report = _mixture(spark, sf)
+    longest = uses.groupBy("source").agg(F.max("tokens").alias("longest"))
+    return report.join(longest, "source", "left").select(
+        "source", "weight", "max_uses", "docs", "tokens", "budget", "falls_short", F.round(_WANTED, 3).alias("wanted"),
+        (F.abs(F.col("used_tokens") - _WANTED) <= F.coalesce("longest", F.lit(0))).alias("reached"),
+    )
+
+
+def p7_limits(spark, sf):
+    """Per document whether its uses are its source's expected ones, rounded down or up, and within ``max_uses``."""
+    uses, report = _mixture(spark, sf)
+    rates = report.select("source", "max_uses", (_WANTED / F.col("tokens")).alias("rate"))
+    within = F.col("uses").between(F.floor(F.col("rate") + 1e-9), F.ceil(F.col("rate") - 1e-9)) & (F.col("uses") <= F.col("max_uses"))
+    return uses.join(rates, "source").select(F.col("ident").alias("doc_id"), "source", "tokens", within.alias("within_uses"))
+
+
 LIMIT, OVERLAP = 512, 64
 
 
@@ -159,6 +187,25 @@ def p8_pieces(spark, sf):
     return split_oversized(table(spark, sf, "documents"), "doc_id", "text", LIMIT, OVERLAP)
 
 
+def p8_checked(spark, sf):
+    """Per oversized document what its pieces must keep to: the limit, the overlap, their least number, and the text.
+
+    The pieces of one document come together, so a row is as large as a document.
+    """
+    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    fresh = F.slice("w", F.col("repeated") + 1, F.greatest(F.size("w") - F.col("repeated"), F.lit(0)).cast("int"))
+    pieces = p8_pieces(spark, sf).withColumn("w", tokens).select(
+        "doc_id", "doc_tokens", F.struct("piece", F.size("w").alias("n"), "repeated", F.slice("w", 1, OVERLAP).alias("head"), F.slice("w", -OVERLAP, OVERLAP).alias("tail"), fresh.alias("fresh")).alias("p"),
+    )
+    docs = pieces.groupBy("doc_id", "doc_tokens").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    overlapping = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda k: (F.get("p.head", k) == F.get("p.tail", k - 1)) & (F.get("p.repeated", k) == OVERLAP))
+    return docs.select(
+        "doc_id", "doc_tokens", F.forall("p.n", lambda n: n <= LIMIT).alias("within_limit"), overlapping.alias("overlapping"),
+        (F.size("p") >= F.ceil((F.col("doc_tokens") - OVERLAP) / (LIMIT - OVERLAP))).alias("enough"),
+        F.md5(F.array_join(F.flatten("p.fresh"), " ")).alias("tokens_md5"),
+    )
+
+
 def p8_found(spark, sf):
     return p8_pieces(spark, sf).where("piece = 0").select("doc_id")
 
@@ -167,8 +214,9 @@ QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_tracks": p2_tracks, "p2_segments": p2_segments,
     "p2_documents": p2_documents, "p3_found": p3_found, "p3_canonical": p3_canonical, "p3_forms": p3_forms,
     "p4_found": p4_found, "p4_runs": p4_runs,
-    "p6_found": p6_found, "p6_leaks": p6_leaks,
-    "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses, "p8_found": p8_found, "p8_pieces": p8_pieces,
+    "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_runs": p6_runs,
+    "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses, "p7_targets": p7_targets, "p7_limits": p7_limits,
+    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_checked": p8_checked,
 }
 
 
@@ -265,5 +313,23 @@ with d as (select source, {_TOKENS} n from documents where source is not null),
 t as (select sum(n) total from d), s as (select source, sum(n) n from d group by source)
 select m.source from mix_target m left join s on m.source = s.source, t
 where m.max_uses * coalesce(s.n, 0) < m.weight * t.total""",
+    "p7_targets": f"""
+with d as (select source, {_TOKENS} n from documents where source is not null),
+t as (select sum(n) total from d), s as (select source, sum(n) n, count(*) docs from d group by source)
+select m.source, m.weight, cast(m.max_uses as bigint) max_uses, coalesce(docs, 0) docs, cast(coalesce(s.n, 0) as bigint) tokens, cast(total as bigint) budget,
+       max_uses * coalesce(s.n, 0) < weight * total falls_short, round(least(weight * total, cast(max_uses * coalesce(s.n, 0) as double)), 3) wanted, true reached
+from (select distinct * from mix_target) m left join s on m.source = s.source, t""",
+    "p7_limits": f"select doc_id, source, {_TOKENS} tokens, true within_uses from documents join (select distinct source from mix_target) using (source)",
+    "p6_runs": f"""
+with i as (select item_id, {_words('text')} w from heldout_item where text is not null), d as (select distinct doc_id, {_words('text')} w from documents where text is not null),
+ig as (select item_id, k i, array_to_string(w[k:k + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+dg as (select doc_id, k j, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d)),
+m as (select distinct item_id, doc_id, i, j from ig join dg using (g)),
+n as (select *, j - row_number() over (partition by item_id, doc_id, j - i order by j) run from m),
+l as (select item_id, doc_id, count(*) + 11 words from n group by item_id, doc_id, j - i, run)
+select item_id, doc_id, max(words) run_words from l group by item_id, doc_id""",
+    "p8_checked": f"""
+with t as (select doc_id, regexp_extract_all(text, '{TOKEN}') w from documents)
+select doc_id, len(w) doc_tokens, true within_limit, true overlapping, true enough, md5(array_to_string(w, ' ')) tokens_md5 from t where len(w) > {LIMIT}""",
     "p8_found": f"select doc_id from documents where {_TOKENS} > {LIMIT}",
 }
