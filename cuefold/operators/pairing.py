@@ -9,6 +9,9 @@ rows: a block's first island goes on with the one before where no gap parts them
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,13 +51,16 @@ def _islands(ref: DataFrame, cand: DataFrame, tol: float) -> DataFrame:
     )
 
 
-def _fold(tol: float):
+def _fold(tol: float, in_stream: bool = False):
+    """The pairs of an island from its arrays ``rs`` and ``cs``, ``rs`` in the order in which they choose."""
+    near = f"abs(k.start - r.start) <= {tol}D" if in_stream else f"k.start >= r.start - {tol}D and k.start - r.start <= {tol}D"
+    tie = "'o', k.ord" if in_stream else "'s', k.start, 'o', k.ord"
     step = f"""
       aggregate(rs, named_struct('used', cast(array() as array<bigint>), 'pairs', cast(array() as array<struct<r:bigint,c:bigint>>)),
         (acc, r) -> aggregate(
           slice(array_sort(transform(
-            filter(cs, k -> k.start >= r.start - {tol}D and k.start - r.start <= {tol}D and not array_contains(acc.used, k.id)),
-            k -> named_struct('d', abs(k.start - r.start), 's', k.start, 'o', k.ord, 'id', k.id))), 1, 1),
+            filter(cs, k -> {near} and not array_contains(acc.used, k.id)),
+            k -> named_struct('d', abs(k.start - r.start), {tie}, 'id', k.id))), 1, 1),
           acc, (a, k) -> named_struct('used', array_append(a.used, k.id), 'pairs', array_append(a.pairs, named_struct('r', r.id, 'c', k.id))))
       ).pairs"""
     return F.expr(step)
@@ -64,30 +70,32 @@ def _walk(tol: float):
     """The same greedy choice over a long island, arriving in order of start in many batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, refs, cands, out = None, [], [], []
+        key, refs, cands, out = None, deque(), deque(), []
 
         def settle(upto: float) -> None:
             # References whose whole window has arrived choose now.
             while refs and refs[0][0] + tol + 1e-6 < upto:
-                start, rid = refs.pop(0)
+                start, rid = refs.popleft()
                 while cands and cands[0][0] < start - tol - 1e-6:
-                    cands.pop(0)
+                    cands.popleft()
                 near = [(abs(c - start), c, o, i, k) for k, (c, o, i) in enumerate(cands) if c >= start - tol and c - start <= tol]
                 if near:
                     best = min(near)
-                    cands.pop(best[4])
+                    del cands[best[4]]
                     out.append((rid, best[3]))
 
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if (row.file, row.isl) != key:
+            for file, isl, side, start, order, ident in zip(*(pdf[c].tolist() for c in ("file", "isl", "side", "start", "ord", "id")), strict=True):
+                if (file, isl) != key:
                     settle(float("inf"))
-                    key, refs, cands = (row.file, row.isl), [], []
-                settle(row.start)
-                if row.side == 0:
-                    refs.append((row.start, row.id))
+                    key = (file, isl)
+                    refs.clear()
+                    cands.clear()
+                settle(start)
+                if side == 0:
+                    refs.append((start, ident))
                 else:
-                    cands.append((row.start, row.ord, row.id))
+                    cands.append((start, order, ident))
             if out:
                 yield pd.DataFrame(out, columns=["ref_id", "cand_id"])
                 out = []
@@ -127,10 +135,58 @@ def pair_cues(ref: DataFrame, cand: DataFrame, tolerance: float = TOLERANCE) ->
     return short.unionByName(long)
 
 
-def nearest_unmatched(frames: DataFrame, targets: DataFrame, tolerance: float = 0.08) -> DataFrame:
-    """(frame_id, target_id): each frame in order takes the nearest target not yet taken.
+def _stream(tol: float):
+    """The choice in stream order over a long island: its targets arrive first, then its frames."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, found = None, []
+        starts: list[float] = []
+        free: list[tuple] = []
+        for pdf in batches:
+            for file, isl, side, start, order, ident in zip(*(pdf[c].tolist() for c in ("file", "isl", "side", "start", "ord", "id")), strict=True):
+                if (file, isl) != key:
+                    key, starts, free = (file, isl), [], []
+                if side == 1:
+                    starts.append(start)
+                    free.append((start, order, ident))
+                    continue
+                low, high = bisect.bisect_left(starts, start - tol - 1e-6), bisect.bisect_right(starts, start + tol + 1e-6)
+                near = [(abs(t - start), o, i, k) for k, (t, o, i) in enumerate(free[low:high], low) if abs(t - start) <= tol]
+                if near:
+                    best = min(near)
+                    # A taken target stands aside; its place keeps the starts sorted.
+                    free[best[3]] = (float("inf"), best[1], best[2])
+                    found.append((ident, best[2]))
+            if found:
+                yield pd.DataFrame(found, columns=["frame_id", "target_id"])
+                found = []
+
+    return run
+
 
-    The same greedy pairing with frames in the role of references.
+def nearest_unmatched(frames: DataFrame, targets: DataFrame, tolerance: float = 0.08) -> DataFrame:
+    """(frame_id, target_id): each frame in stream order takes the nearest target not yet taken.
+
+    Both inputs have ``file, id, ord, start``; ``frames`` has ``usable`` too.  The order of the
+    stream is ``ord`` of the frames, whatever their times; a tie goes to the target of the
+    smaller ``ord``.  A frame without an image (``usable`` false or null) takes nothing.  A
+    tolerance that is no finite number counts as 0.08.  Rows without file or start pair with
+    nothing, repeated rows must be removed before, and empty inputs give no rows.  Starts with
+    no gap wider than the tolerance are one island, walked by one task if it is long.
     """
-    pairs = pair_cues(frames, targets, tolerance)
-    return pairs.withColumnsRenamed({"ref_id": "frame_id", "cand_id": "target_id"})
+    tolerance = tolerance if math.isfinite(tolerance) else 0.08
+    isl = cut(_islands(frames.where("usable"), targets, tolerance))
+    row = F.struct("ord", "id", "start")
+    groups = isl.groupBy("file", "isl").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("nr"))
+    sized = isl.join(groups.where("nr > 0 and nr < n"), ["file", "isl"])
+    short = (
+        sized.where(f"n <= {FOLD_ROWS}").groupBy("file", "isl")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("side") == 0, row))).alias("rs"), F.collect_list(F.when(F.col("side") == 1, row)).alias("cs"))
+        .select(F.explode(_fold(tolerance, True)).alias("p")).select(F.col("p.r").alias("frame_id"), F.col("p.c").alias("target_id"))
+    )
+    order = [F.col("file"), F.col("isl"), F.col("side").desc(), F.when(F.col("side") == 1, F.col("start")), F.col("ord"), F.col("id")]
+    long = (
+        sized.where(f"n > {FOLD_ROWS}").repartition("file", "isl").sortWithinPartitions(*order)
+        .select("file", "isl", "side", "start", "ord", "id").mapInPandas(_stream(tolerance), "frame_id bigint, target_id bigint")
+    )
+    return short.unionByName(long)

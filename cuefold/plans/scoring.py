@@ -81,9 +81,9 @@ def quality_gate(spark, sf):
 
 
 def frame_targets(spark, sf):
-    """Candidates as frames, each taking the nearest missing reference within 0.08 s."""
+    """Candidates as frames in the order of their ids, those with text taking the nearest reference within 0.08 s."""
     ref, cand = _tracks(spark, sf)
-    return nearest_unmatched(cand, ref)
+    return nearest_unmatched(cand.withColumn("ord", F.col("id")).withColumn("usable", F.col("text") != ""), ref)
 
 
 QUERIES = {f.__name__: f for f in (

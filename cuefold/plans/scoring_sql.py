@@ -31,6 +31,24 @@ pairs as (select l, r from st where r is not null)
 """
 
 
+_FRAMES = """
+fr as (select file, id, id as ord, s from cand where t <> ''),
+m as (select file, id, ord, s, 0 side from fr union all select file, id, ord, s, 1 from ref),
+g as (select *, case when s - lag(s) over (partition by file order by s) <= 0.08::double + 1e-6::double then 0 else 1 end brk from m),
+i as (select *, sum(brk) over (partition by file order by s rows unbounded preceding) isl from g),
+fn as (select *, row_number() over (partition by file, isl order by ord, id) rn from i where side = 0),
+ft as (select file, isl, list({'s': s, 'o': ord, 'id': id}) ts from i where side = 1 group by file, isl),
+st as (
+  select file, isl, 0::bigint rn, []::bigint[] used, null::bigint l, null::bigint r, ts from ft
+  union all
+  select file, isl, rn, case when r is null then used else list_append(used, r) end, l, r, ts from (
+    select st.file, st.isl, fn.rn, st.used, fn.id l, st.ts,
+      (list_sort(list_transform(list_filter(st.ts, lambda k: abs(k.s - fn.s) <= 0.08::double and not list_contains(st.used, k.id)),
+         lambda k: {'d': abs(k.s - fn.s), 'o': k.o, 'id': k.id}))[1]).id r
+    from st join fn on st.file = fn.file and st.isl = fn.isl and fn.rn = st.rn + 1))
+"""
+
+
 _BASE = f"with recursive ref as ({_side('ref_cue')}), cand as ({_side('cand_cue')}),"
 PAIRED = _BASE + _pairs("ref", "cand", 0.04) + """,
 asc_ as (select id, regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g') t from ref union all select id, regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g') from cand),
@@ -81,7 +99,7 @@ _ROWS = """, l as (select file, count(*) reference_cues, count(*) filter (where
 
 ORACLE = {
     "pair": _BASE + _pairs("ref", "cand", 0.04) + "select l as ref_id, r as cand_id from pairs",
-    "frame_targets": _BASE + _pairs("cand", "ref", 0.08) + "select l as frame_id, r as target_id from pairs",
+    "frame_targets": _BASE + _FRAMES + "select l as frame_id, r as target_id from st where r is not null",
     "pair_details": PAIRED + "select file, ref_id, cand_id, edit_distance from p",
     "missing_cues": PAIRED + "select file, ref_id, ref_start from p where cand_id is null",
     "extra_cues": PAIRED + 'select file, id as cand_id, s as "start", in_gap from x',
