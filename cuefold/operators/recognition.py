@@ -13,7 +13,11 @@ MARGIN, CONFIDENCE_FLOOR, PROBE_SAMPLE = 0.025, 88.0, 24
 LENGTH_WEIGHT, LENGTH_CAP = 0.02, 120
 SHORT = r"\A[A-Za-z]{1,3}\z"
 
-VARIANT_ORDER = ["psm6", "psm11", "threshold-dilate", "hollow-repair", "default"]
+# The ways an image is read, in the order that decides between equal scores.
+DIRECT, DILATED = ["psm6", "psm11", "default"], "threshold-dilate"
+REPAIRS = ["shadow-strip", "fill-select", "hollow-fill", "hollow-repair"]
+SINGLE = "psm10"
+VARIANT_ORDER = [*DIRECT, SINGLE, DILATED, *REPAIRS, "resize2-psm7", "resize2-psm13", "gray-auto-psm6", "gray-auto-psm13", "psm13"]
 
 
 def parse_words(tsv: Column) -> Column:
@@ -105,26 +109,42 @@ def prefer_dilated(first: Column, text: Column, confidence: Column) -> Column:
     return F.coalesce(dilated_usable(text, confidence) & (confidence >= 70) & better, F.lit(False))
 
 
-def choose_reading(readings: DataFrame, image: list[str]) -> DataFrame:
-    """The reading of each image: best score of the direct ones, a better thresholded one, else a usable fallback.
+def choose_reading(readings: DataFrame, image: list[str], mode: str = "accurate", height: str | None = None) -> DataFrame:
+    """The reading of each image, of all the ways in which it was read.
 
-    ``readings`` has ``id, text, confidence, variant``.  Ties go to the variant that comes
-    first, then to the smaller id.  Images nothing was read of keep a null ``text``.
+    ``readings`` has ``id, text, confidence, variant``, and ``height`` names the column of the
+    image's height if there is one.
+
+    * ``accurate``: direct readings, a thresholded one that is usable and usable repairs compete
+      on score; the thresholded one also wins by :func:`prefer_dilated`.
+    * ``hybrid``: direct readings compete on score; only a :func:`weak` winner is tried again,
+      and the thresholded reading wins by :func:`prefer_dilated`.  Repairs are not looked at.
+
+    If all of these are blank, the other readings are fallbacks and the best score wins among
+    those that pass the rule of their variant: :func:`precise_line` for psm10,
+    :func:`dilated_usable` for the thresholded one, :func:`usable` for any other.  Equal scores
+    go to the variant that comes first, then to the smaller id.  Images nothing was read of
+    keep a null ``text``.
     """
+    if mode not in ("accurate", "hybrid"):
+        raise ValueError(f"mode {mode}")
     rank = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in VARIANT_ORDER]), F.col("variant")), F.lit(99))
     key = F.struct(score(F.col("text"), F.col("confidence")), -rank, -F.col("id"))
-    row = F.struct("id", "text", "confidence", "variant")
-    text, conf, variant = F.col("text"), F.col("confidence"), F.col("variant")
-    direct = variant.isin("psm6", "psm11", "default") & (F.coalesce(text, F.lit("")) != "")
-    dilated = (variant == "threshold-dilate") & dilated_usable(text, conf)
-    fallback = F.when(variant == "threshold-dilate", dilated_usable(text, conf)).otherwise(usable(text, conf) | precise_line(text, conf))
+    tall = F.col(height).cast("double") if height else F.lit(None).cast("double")
+    row = F.struct("id", "text", "confidence", "variant", tall.alias("height"))
+    text, conf, variant = F.col("text"), F.col("confidence"), F.coalesce("variant", F.lit(""))
+    direct = variant.isin(*DIRECT) & (F.coalesce(text, F.lit("")) != "")
+    dilated = (variant == DILATED) & dilated_usable(text, conf)
+    repaired = variant.isin(*REPAIRS) & usable(text, conf)
+    last = F.when(variant == SINGLE, precise_line(text, conf)).when(variant == DILATED, dilated_usable(text, conf)).otherwise(~variant.isin(*DIRECT, *REPAIRS) & usable(text, conf))
     best = readings.groupBy(*image).agg(
-        F.max_by(row, F.when(direct, key)).alias("first"), F.max_by(row, F.when(dilated, key)).alias("thr"), F.max_by(row, F.when(fallback, key)).alias("fall"),
-        F.count("*").alias("readings"),
+        F.max_by(row, F.when(direct | dilated | repaired if mode == "accurate" else direct, key)).alias("first"),
+        F.max_by(row, F.when(dilated, key)).alias("again"), F.max_by(row, F.when(last, key)).alias("last"), F.count("*").alias("readings"),
     )
-    take = F.when(F.col("first").isNull(), F.col("fall")).when(
-        F.col("thr").isNotNull() & prefer_dilated(F.col("first.text"), F.col("thr.text"), F.col("thr.confidence")), F.col("thr")
-    ).otherwise(F.col("first"))
+    better = F.col("again").isNotNull() & prefer_dilated(F.col("first.text"), F.col("again.text"), F.col("again.confidence"))
+    if mode == "hybrid":
+        better = better & F.coalesce(weak(F.col("first.text"), F.col("first.variant"), F.col("first.height")), F.lit(False))
+    take = F.when(F.col("first").isNull(), F.col("last")).when(better, F.col("again")).otherwise(F.col("first"))
     return best.select(*image, "readings", take.alias("t")).select(*image, "readings", F.col("t.id").alias("id"), "t.text", "t.confidence", "t.variant")
 
 

@@ -193,6 +193,12 @@ def candidate_select(spark, sf):
     return recognition.choose_reading(_readings(spark, sf), IMAGE).select(*IMAGE, "readings", "id", "variant")
 
 
+def candidate_select_hybrid(spark, sf):
+    """As candidate_select in hybrid mode, an image's height made of its number."""
+    readings = _readings(spark, sf).withColumn("height", F.pmod("ord", F.lit(7)) * 30)
+    return recognition.choose_reading(readings, IMAGE, "hybrid", "height").select(*IMAGE, "readings", "id", "variant")
+
+
 def reading_flags(spark, sf):
     t, c = F.col("text"), F.col("confidence")
     return _readings(spark, sf).select(
@@ -413,7 +419,7 @@ def job_outputs_stream(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     next_later_pts, display_end, timing_fallback, frame_numbers, output_status, dedup_first, dedup_fanout, mkv_tracks, track_select, extract_plan,
-    plan_clashes, skip_existing, pair_idx_sub, language_groups, cache_lookup, cache_store, queue_upsert, even_sample, engine_probe, candidate_select,
+    plan_clashes, skip_existing, pair_idx_sub, language_groups, cache_lookup, cache_store, queue_upsert, even_sample, engine_probe, candidate_select, candidate_select_hybrid,
     reading_flags, line_regroup, command_output, batch_defaults, engine_failures, histogram256, repair_decisions, reading_order, listing_pairs,
     fixture_gaps, csv_report, json_report, inspection_manifest, inspection_limits, unique_names, batch_outcomes, pgs_decode, png_roundtrip, job_progress, job_progress_stream,
     job_outputs, job_outputs_stream,

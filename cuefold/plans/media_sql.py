@@ -47,6 +47,40 @@ def _dilated(t: str, c: str) -> str:
     return f"(({_usable(t, c)}) and (not regexp_matches(coalesce({t}, ''), {_SHORT}) or coalesce({c}, 0) >= 80))"
 
 
+def _weak(t: str, v: str, h: str) -> str:
+    return (
+        f"(coalesce({t}, '') <> '' and (len({_lines(t)}) >= 3 or {_fragments(t)} or regexp_matches({t}, {_SHORT}) "
+        f"or ({h} >= 150 and (len({_lines(t)}) = 1 or ({v} = 'psm11' and len({_lines(t)}) <= 2)))))"
+    )
+
+
+def _preferred(first: str, t: str, c: str) -> str:
+    """A thresholded reading beats the first one: usable, sure enough and longer, in more lines, or whole where that is in pieces."""
+    return (
+        f"({_dilated(t, c)} and {c} >= 70 and ((len({_lines(t)}) > len({_lines(first)}) and length({t}) >= length({first}) + 4) "
+        f"or ({c} >= 80 and length({t}) >= length({first}) + 8) or ({_fragments(first)} and length({t}) >= length({first}) - 2) "
+        f"or (regexp_matches({first}, {_SHORT}) and length({t}) > length({first}))))"
+    )
+
+
+def _selected(mode: str) -> str:
+    """The stages one after the other: candidates by score, the thresholded one, fallbacks by the rule of their variant."""
+    order = "['psm6', 'psm11', 'default', 'psm10', 'threshold-dilate', 'shadow-strip', 'fill-select', 'hollow-fill', 'hollow-repair', 'resize2-psm7', 'resize2-psm13', 'gray-auto-psm6', 'gray-auto-psm13', 'psm13']"
+    pick = f"partition by file, track_id, ord order by {_score('text', 'confidence')} desc, coalesce(list_position({order}, variant), 99), id"
+    competes = "variant in ('psm6', 'psm11', 'default') and coalesce(text, '') <> ''"
+    if mode == "accurate":
+        competes = f"({competes}) or (variant = 'threshold-dilate' and {_dilated('text', 'confidence')}) or (variant in ('shadow-strip', 'fill-select', 'hollow-fill', 'hollow-repair') and {_usable('text', 'confidence')})"
+    retry = f" and {_weak('a.text', 'a.variant', 'i.ord % 7 * 30')}" if mode == "hybrid" else ""
+    return f"""with {_READINGS}, i as (select file, track_id, ord, count(*) readings from r group by all),
+      a as (select * from r where {competes} qualify row_number() over ({pick}) = 1),
+      t as (select * from r where variant = 'threshold-dilate' and {_dilated('text', 'confidence')} qualify row_number() over ({pick}) = 1),
+      f as (select * from r where case when variant = 'psm10' then {_precise('text', 'confidence')} when variant = 'threshold-dilate' then {_dilated('text', 'confidence')}
+        when variant in ('psm6', 'psm11', 'default', 'shadow-strip', 'fill-select', 'hollow-fill', 'hollow-repair') then false else {_usable('text', 'confidence')} end qualify row_number() over ({pick}) = 1),
+      c as (select i.*, case when a.id is null then f.id when t.id is not null and {_preferred('a.text', 't.text', 't.confidence')}{retry} then t.id else a.id end id
+        from i left join a using (file, track_id, ord) left join t using (file, track_id, ord) left join f using (file, track_id, ord))
+      select c.file, c.track_id, c.ord, readings, c.id, r.variant from c left join r on c.id = r.id"""
+
+
 _IMAGES = """o as (select distinct file, track_id, ord, ocr_id, text, confidence, engine from ocr_result),
 i as (select file, track_id, ord, arg_max_null(text, ocr_id) filter (where engine = 'tesseract-fast') d_text,
       arg_max_null(confidence, ocr_id) filter (where engine = 'tesseract-fast') d_conf,
@@ -125,15 +159,8 @@ ORACLE = {
       g as (select file, track_id, count(*) filter (where rd) readable, round(coalesce(avg(coalesce(dh, 0)) filter (where rd), 0), 9) default_score,
         round(coalesce(avg(coalesce(ch, 0)) filter (where rd), 0), 9) challenger_score, round(coalesce(avg(coalesce(d_conf, 0)) filter (where rd), 0), 9) default_confidence from d group by 1, 2)
       select *, challenger_score > default_score + 0.025::double and default_confidence < 88 as use_challenger from g""",
-    "candidate_select": f"""with {_READINGS},
-      k as (select *, {{'s': {_score('text', 'confidence')}, 'v': -coalesce(list_position(['psm6', 'psm11', 'threshold-dilate', 'hollow-repair', 'default'], variant), 99), 'i': -id}} key, {{'id': id, 'text': text, 'confidence': confidence, 'variant': variant}} rw,
-        variant in ('psm6', 'psm11', 'default') and coalesce(text, '') <> '' direct, {_dilated('text', 'confidence')} dil, ({_usable('text', 'confidence')}) or {_precise('text', 'confidence')} us from r),
-      b as (select file, track_id, ord, count(*) readings, arg_max(rw, key) filter (where direct) a, arg_max(rw, key) filter (where variant = 'threshold-dilate' and dil) t,
-        arg_max(rw, key) filter (where case when variant = 'threshold-dilate' then dil else us end) f from k group by 1, 2, 3),
-      c as (select *, case when a is null then f when t is not null and t.confidence >= 70 and ((len({_lines('t.text')}) > len({_lines('a.text')}) and length(t.text) >= length(a.text) + 4)
-        or (t.confidence >= 80 and length(t.text) >= length(a.text) + 8) or ({_fragments('a.text')} and length(t.text) >= length(a.text) - 2)
-        or (regexp_matches(a.text, {_SHORT}) and length(t.text) > length(a.text))) then t else a end x from b)
-      select file, track_id, ord, readings, x.id as id, x.variant as variant from c""",
+    "candidate_select": _selected("accurate"),
+    "candidate_select_hybrid": _selected("hybrid"),
     "reading_flags": f"""with {_READINGS} select id, round({_score('text', 'confidence')}, 6) as score, {_usable('text', 'confidence')} as usable, {_precise('text', 'confidence')} as precise,
       {_dilated('text', 'confidence')} as dilated, case when coalesce(text, '') = '' then false else len({_lines('text')}) >= 3 or {_fragments('text')} or regexp_matches(text, {_SHORT})
         or (length(variant) * 20 >= 150 and (len({_lines('text')}) = 1 or (variant = 'psm11' and len({_lines('text')}) <= 2))) end as weak from r""",

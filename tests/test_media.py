@@ -88,10 +88,30 @@ def test_probe_and_choice(spark, one):
     sampled = spark.createDataFrame([("t", "y0u h&ve", 70.0, "you have"), ("t", None, None, None), ("u", "you have", 70.0, "you have"), ("v", "y0u h&ve", 95.0, "you have")], "t string, d_text string, d_conf double, c_text string")
     got = {r.t: (r.use_challenger, r.readable) for r in recognition.probe(sampled, ["t"]).collect()}
     assert got == {"t": (True, 1), "u": (False, 1), "v": (False, 1)}
-    r = spark.createDataFrame([("i", 1, "", 0.0, "psm6"), ("i", 2, "hello there", 50.0, "hollow-repair"), ("j", 3, "ab", 90.0, "psm6"), ("j", 4, "a good line", 85.0, "threshold-dilate"), ("k", 5, None, None, "psm6")], "img string, id bigint, text string, confidence double, variant string")
+    r = spark.createDataFrame([("i", 1, "", 0.0, "psm6"), ("i", 2, "hello there", 50.0, "psm13"), ("j", 3, "ab", 90.0, "psm6"), ("j", 4, "a good line", 85.0, "threshold-dilate"), ("k", 5, None, None, "psm6")], "img string, id bigint, text string, confidence double, variant string")
     assert {x.img: x.id for x in recognition.choose_reading(r, ["img"]).collect()} == {"i": 2, "j": 4, "k": None}
 
 
+def test_choice_by_mode(spark):
+    """Repairs compete on score in accurate mode; in hybrid mode only a weak first reading is tried again."""
+    schema = "img string, id bigint, text string, confidence double, variant string, height int"
+    rows = [
+        ("repair", 1, "Whet wes thet", 70.0, "psm6", 90), ("repair", 2, "What was that", 95.0, "hollow-repair", 90),
+        ("two letters", 3, "", 0.0, "psm6", 90), ("two letters", 4, "Ok", 85.0, "resize2-psm7", 90),
+        ("single", 5, None, None, "psm11", 90), ("single", 6, "Ok", 85.0, "psm10", 90), ("single", 7, "Okay then", 60.0, "psm13", 90),
+        ("strong", 8, "Two words here", 90.0, "psm6", 90), ("strong", 9, "Two words here and more of them", 82.0, "threshold-dilate", 90),
+        ("tall", 10, "Two words here", 90.0, "psm6", 160), ("tall", 11, "Two words here and more of them", 82.0, "threshold-dilate", 160),
+        ("unsure", 12, "a line of text", 50.0, "psm6", 90), ("unsure", 13, "a line", 44.0, "fill-select", 90),
+        ("tie", 15, "same", 80.0, "psm11", 90), ("tie", 14, "same", 80.0, "psm11", 90), ("tie", 16, "same", 80.0, "psm6", 90),
+        ("none", 17, "", 1.0, "psm6", 90), ("none", 18, "x", 99.0, "threshold-dilate", 90),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    pick = lambda *a: {x.img: x.id for x in recognition.choose_reading(df, ["img"], *a).collect()}
+    assert pick() == {"repair": 2, "two letters": None, "single": 6, "strong": 9, "tall": 11, "unsure": 12, "tie": 16, "none": None}
+    assert pick("hybrid", "height") == {"repair": 1, "two letters": None, "single": 6, "strong": 8, "tall": 11, "unsure": 12, "tie": 16, "none": None}
+    assert recognition.choose_reading(df.limit(0), ["img"]).count() == 0
+
+
 def test_command_output(one):
     f = recognition.parse_command_output
     assert tuple(one(f, '{"text":"a","confidence":"91.5","model":"m"}')) == ("a", 91.5, "m")
