@@ -104,7 +104,14 @@ def clean_ocr_text(text: Column, profile: str = "generic") -> Column:
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
-#: Common English words, for the health score of recognised text.
+#: Contractions by rule: who before what, and verbs before n't.
+_SHORTENED = [
+    *[f"{who}'{what}" for who in ("i", "you", "he", "she", "it", "we", "they") for what in ("ll", "d")],
+    *[f"{who}'ve" for who in ("i", "you", "we", "they")], *[f"{who}'re" for who in ("you", "we", "they")], "i'm", "let's",
+    *[f"{who}'s" for who in ("he", "she", "it", "that", "what", "who", "where", "here", "there", "how")],
+    *[f"{verb}n't" for verb in ("are", "ca", "could", "did", "does", "do", "had", "has", "have", "is", "must", "should", "was", "were", "wo", "would")],
+]
+#: Common English words, for the health score of recognised text: function words and everyday verbs, listed from general knowledge.
 COMMON_WORDS = (
     "a about after all am an and any are as ask at away be because been before but by can come could did do does down each "
     "even every few find for found from get give go gone good had has have he her here him his how i if in into is it its just "
@@ -112,7 +119,7 @@ COMMON_WORDS = (
     "only or other our out over own people put said same saw say see she should so some still such take tell than that the their "
     "them then there these they thing think this those time to told too took two under until up us very want was way we well went "
     "were what when where which who why will with without woman would year yes you your"
-).split()
+).split() + _SHORTENED
 
 
 def token_score(token: Column, words: list[str] = COMMON_WORDS) -> Column:

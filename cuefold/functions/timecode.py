@@ -72,14 +72,19 @@ def parse_srt_time(text: Column) -> Column:
     return F.when(text.rlike(STRICT_TIME), _clock(text, STRICT_TIME))
 
 
-def parse_fps(text: Column) -> Column:
-    """Frame rate of a number or a fraction; empty is the default, anything else unusable null."""
+def parse_fps(text: Column, strict: bool = True) -> Column:
+    """Frame rate of a number or a fraction; null and empty are the default.
+
+    Anything else fails the query, or is null without ``strict``.
+    """
     t = strip(text)
     a, b = (_group(t, FRACTION, k).try_cast("double") for k in (1, 2))
     value = F.when(t.rlike(FRACTION), F.when((a > 0) & (b > 0), a / b)).otherwise(
         F.when(t.rlike(r"\A[+]?[0-9.]+(?:[eE][+-]?[0-9]+)?\z"), t.try_cast("double"))
     )
-    return F.when(text.isNull() | (text == ""), F.lit(DEFAULT_FPS)).otherwise(F.when(value > 0, value))
+    unusable = F.raise_error(F.concat(F.lit("unusable frame rate: "), t)) if strict else F.lit(None)
+    usable = (value > 0) & (value < float("inf"))
+    return F.when(text.isNull() | (text == ""), F.lit(DEFAULT_FPS)).otherwise(F.when(usable, value).otherwise(unusable.cast("double")))
 
 
 def ttml_time(text: Column, fps: Column) -> Column:

@@ -191,13 +191,11 @@ def top_overall(mismatches: DataFrame, k: int) -> DataFrame:
 
 def gate(total: DataFrame, compared: Column, unpaired: Column, limits: dict[str, float]) -> DataFrame:
     """``enabled, passed, failures`` of the total row under optional thresholds."""
-    checks = [
-        F.when(compared == 0, F.lit("0 fixtures compared")),
-        F.when(unpaired > 0, F.concat(F.lit("missing candidate/reference pairs: "), unpaired.cast("string"))),
-    ]
+    checks = [F.when(compared == 0, F.lit("nothing was compared"))]
     if "min_fixtures" in limits:
         least = int(limits["min_fixtures"])
-        checks.append(F.when(compared < least, F.concat(F.lit("compared "), compared.cast("string"), F.lit(f" fixtures, expected at least {least}"))))
+        checks.append(F.when(compared < least, F.concat(F.lit("files compared: "), compared.cast("string"), F.lit(f", at least {least} wanted"))))
+    checks.append(F.when(unpaired > 0, F.concat(F.lit("files with one side only: "), unpaired.cast("string"))))
     for c in ("missing", "extra", "end_mismatches"):
         if c in limits:
             checks.append(F.when(F.col(c) > limits[c], F.concat(F.lit(f"{c} "), F.col(c).cast("string"), F.lit(f" > {int(limits[c])}"))))

@@ -25,7 +25,8 @@ def _docs(spark, sf, source=None):
 
 
 def _cues(df, parsed, keys=("doc_id",)):
-    return X.cues(df, parsed, list(keys)).select(*keys, "ord", "start", "end", "text")
+    """All cues, unreadable times as null."""
+    return X.cues(df, parsed, list(keys), strict=False).select(*keys, "ord", "start", "end", "text")
 
 
 def format_sniff(spark, sf):
@@ -51,12 +52,20 @@ def scan_plain_transcript(spark, sf):
 
 
 def convert_documents(spark, sf):
-    """Every document in whatever format it is, to the cues that would be written."""
+    """Every document in whatever format it is, to the cues that would be written.
+
+    A document with a time that cannot be read is rejected as a whole and stops no other.
+    """
     d = _docs(spark, sf)
-    out = X.cues(d, X.parse(F.col("text"), _no_name()), ["doc_id"]).where("readable")
-    return S.emitted(out).groupBy("doc_id").agg(
-        F.count("*").alias("cues"), F.sum(F.length(T.clean_subtitle_text(F.col("text")))).alias("chars"),
-        F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"),
+    out = X.cues(d, X.parse(F.col("text"), _no_name()), ["doc_id"], strict=False)
+    written = (T.strip(F.col("text")) != "") & (F.col("end") > F.col("start"))
+    of_written = lambda c: F.when(~F.col("bad"), c)
+    return out.groupBy("doc_id").agg(
+        F.max(~F.col("readable")).alias("bad"), F.count_if(written).alias("n"),
+        F.sum(F.when(written, F.length(T.clean_subtitle_text(F.col("text"))))).alias("c"), F.round(F.sum(F.when(written, F.col("end") - F.col("start"))), 3).alias("s"),
+    ).select(
+        "doc_id", F.when(F.col("bad"), "rejected: unreadable timecode").otherwise("converted").alias("status"),
+        of_written(F.col("n")).alias("cues"), of_written(F.col("c")).alias("chars"), of_written(F.col("s")).alias("seconds"),
     )
 
 
@@ -106,6 +115,14 @@ def scan_ttml(spark, sf):
     return _cues(d.select("file", "chunk", raw.alias("raw")), X.ttml(F.col("raw"), F.lit(C.DEFAULT_FPS)), ("file", "chunk"))
 
 
+def scan_ttml_frames(spark, sf):
+    """Clock times with frames, at a declared rate with a multiplier."""
+    clock = lambda c: F.format_string("%02d:%02d:%02d:%02d", F.floor(_ms(c) / 3600000), F.floor(_ms(c) / 60000) % 60, F.floor(_ms(c) / 1000) % 60, _ms(c) % 24)
+    d = _chunks(spark, sf, F.concat(F.lit('<p begin="'), clock("s"), F.lit('" end="'), clock("e"), F.lit('">'), F.col("t"), F.lit("</p>")))
+    raw = F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml" ttp:frameRate="24" ttp:frameRateMultiplier="1000 1001"><body>'), F.col("body"), F.lit("</body></tt>"))
+    return _cues(d.select("file", "chunk", raw.alias("raw")), X.ttml(F.col("raw"), F.lit(C.DEFAULT_FPS)), ("file", "chunk"))
+
+
 def scan_sami(spark, sf):
     d = _chunks(spark, sf, F.concat(F.lit("<SYNC Start="), _ms("s"), F.lit("><P Class=X>"), F.col("t")))
     raw = F.concat(F.lit("<SAMI><BODY>\n"), F.col("body"), F.lit("</BODY></SAMI>"))
@@ -191,7 +208,7 @@ def names(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     format_sniff, scan_srt, scan_srt_metrics, scan_vtt, scan_plain_transcript, convert_documents, scan_ass, scan_microdvd, scan_mpl2,
-    scan_ttml, scan_sami, scan_stamped_transcript, srt_render, srt_roundtrip, timecode_format, timing_parse, clean_markup, clean_ocr,
+    scan_ttml, scan_ttml_frames, scan_sami, scan_stamped_transcript, srt_render, srt_roundtrip, timecode_format, timing_parse, clean_markup, clean_ocr,
     clean_ocr_fitted, text_health, names,
 )}
 ORACLE = formats_sql.ORACLE

@@ -75,9 +75,14 @@ ORACLE = {
               from documents where source = 'disc_srt' and text is not null)))) where ti > 0)
       where "start" is not null and "end" is not null""",
     "scan_plain_transcript": f"select * from {_plain(_docs('transcript', 'text'))}",
-    "convert_documents": _ALL + f"""
-      select doc_id, count(*) as cues, cast(sum(length({Q.clean_subtitle_text('text')})) as bigint) as chars, round(sum("end" - "start"), 3) as seconds
-      from a where {Q.strip('text')} <> '' and "end" > "start" group by doc_id""",
+    "convert_documents": _ALL + f""",
+      w as (select *, coalesce({Q.strip('text')} <> '' and "end" > "start", false) written, "start" is null or "end" is null bad from a)
+      select doc_id, case when bool_or(bad) then 'rejected: unreadable timecode' else 'converted' end as status,
+        case when not bool_or(bad) then count(*) filter (where written) end as cues,
+        case when not bool_or(bad) then cast(sum(length({Q.clean_subtitle_text('text')})) filter (where written) as bigint) end as chars,
+        case when not bool_or(bad) then round(sum("end" - "start") filter (where written), 3) end as seconds from w group by doc_id""",
+    "scan_ttml_frames": _CHUNK + """
+      select file, chunk, ord, (ms // 1000)::double + (ms % 24) / (24 * (1000.0::double / 1001)) as "start", (me // 1000)::double + (me % 24) / (24 * (1000.0::double / 1001)) as "end", t as text from d""",
     "scan_ass": _CHUNK + f'select file, chunk, ord, {_CENTI("ms")} as "start", {_CENTI("me")} as "end", t as text from d',
     "scan_microdvd": _CHUNK + """
       select file, chunk, ord, round(s * 25) / 25 as "start", round(e * 25) / 25 as "end", t as text from d

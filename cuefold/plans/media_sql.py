@@ -221,3 +221,9 @@ ORACLE["job_outputs"] = """with o as (select user_id::varchar as job, props as o
       from events where event_type = 'purchase' and props <> '' group by 1, 2)
       select job, row_number() over (partition by job order by first_ms, output) as position, output, first_ms from o"""
 ORACLE["job_outputs_stream"] = ORACLE["job_outputs"]
+ORACLE["reading_order"] = """with recursive b as (select vec_id, i, embedding[2 * i + 1]::double y, embedding[2 * i + 2]::double x from (select vec_id, embedding, unnest(range(len(embedding) // 2)) i from embeddings)),
+      o as (select *, row_number() over (partition by vec_id order by y desc, x, i) k from b),
+      r as (select vec_id, k, i, x, y as top, 0 as line from o where k = 1
+        union all
+        select o.vec_id, o.k, o.i, o.x, case when abs(o.y - r.top) > 0.03::double then o.y else r.top end, r.line + (abs(o.y - r.top) > 0.03::double)::int from r join o on o.vec_id = r.vec_id and o.k = r.k + 1)
+      select vec_id, string_agg(i::varchar, ',' order by line, x, i) as ids from r group by vec_id"""

@@ -111,8 +111,9 @@ ORACLE = {
     "benchmark_summary": PAIRED + _ROWS + """select *, case when missing > 0 or extra > 0 or end_mismatches > 0 then 'check' when unverified > 0 then 'unverified' else 'ok' end as verdict from r""",
     "quality_gate": PAIRED + _ROWS + """, c as (select count(*) filter (where reference_cues > 0 and candidate_cues > 0) compared,
         count(*) filter (where reference_cues = 0 or candidate_cues = 0) unpaired from r0),
-      f as (select list_filter([case when compared = 0 then '0 fixtures compared' end, case when unpaired > 0 then 'missing candidate/reference pairs: ' || unpaired end,
-        case when compared < 9 then 'compared ' || compared || ' fixtures, expected at least 9' end, case when missing > 0 then 'missing ' || missing || ' > 0' end,
+      f as (select list_filter([case when compared = 0 then 'nothing was compared' end,
+        case when compared < 9 then 'files compared: ' || compared || ', at least 9 wanted' end, case when unpaired > 0 then 'files with one side only: ' || unpaired end,
+        case when missing > 0 then 'missing ' || missing || ' > 0' end,
         case when extra > 0 then 'extra ' || extra || ' > 0' end, case when end_mismatches > 0 then 'end_mismatches ' || end_mismatches || ' > 0' end,
         case when character_error_rate > 0.01 then 'CER ' || printf('%.2f%%', character_error_rate * 100) || ' > 1.00%' end], lambda z: z is not null) fs from r, c where file = 'TOTAL')
       select true as enabled, len(fs) = 0 as passed, array_to_string(fs, '; ') as failures from f""",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cuefold.functions.binding import let
 from cuefold.functions.text import WS, clean_subtitle_text, decode_entities, strip
-from cuefold.functions.timecode import DEFAULT_FPS, parse_srt_time, parse_timecode, ttml_time
+from cuefold.functions.timecode import DEFAULT_FPS, parse_fps, parse_srt_time, parse_timecode, ttml_time
 
 ARROW = "-->"
 #: Seconds a last cue lasts where a format has only starts.
@@ -259,8 +259,8 @@ PARSERS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def parse(raw: Column, name: Column, fps: Column | None = None, formats: list[str] | None = None) -> Column:
-    """Cues of a document of any format."""
-    fps = F.lit(DEFAULT_FPS) if fps is None else fps
+    """Cues of a document of any format; ``fps`` is a number, or a text as :func:`parse_fps` reads it."""
+    fps = F.lit(DEFAULT_FPS) if fps is None else parse_fps(fps.cast("string"))
 
     def by_format(d: Column) -> Column:
         out = F.lit(None)
@@ -273,16 +273,17 @@ def parse(raw: Column, name: Column, fps: Column | None = None, formats: list[st
     return let(sniffed, by_format)
 
 
-def cues(df: DataFrame, parsed: Column, keep: list[str], strict: bool = False) -> DataFrame:
-    """``keep`` columns and ``ord, start, end, text`` of every parsed cue.
+def cues(df: DataFrame, parsed: Column, keep: list[str], strict: bool = True) -> DataFrame:
+    """``keep`` columns and ``ord, start, end, text, readable`` of every parsed cue.
 
-    ``readable`` is false for cues with a time that cannot be read; with ``strict`` such a
-    cue fails the query.  Null documents have no cues.
+    A cue with a time that cannot be read fails the query; without ``strict`` it is a row that is
+    not ``readable``, so that a caller can set its document apart.  Null documents have no cues.
     """
     out = df.select(*keep, F.posexplode(parsed).alias("ord", "c")).select(*keep, "ord", "c.*")
     readable = F.col("start").isNotNull() & F.col("end").isNotNull()
     if strict:
-        readable = F.coalesce(F.when(readable, True), F.raise_error(F.lit("unreadable timecode")).cast("boolean"))
+        # A condition, as a column could be pruned.
+        out = out.where(F.when(readable, True).otherwise(F.raise_error(F.lit("unreadable timecode")).cast("boolean")))
     return out.withColumn("readable", readable)
 
 

@@ -158,9 +158,9 @@ def render(display: Composition | None, palette: dict[int, tuple], parts: dict[i
     return image, int(width), int(height)
 
 
-def display_sets(data: bytes, most: int | None = None) -> Iterator[tuple[float, tuple[np.ndarray, int, int] | None]]:
-    """(seconds, rendered image or None) of each display set, at most ``most`` of them."""
-    display, palette, parts, count = None, {}, {}, 0
+def display_sets(data: bytes) -> Iterator[tuple[float, tuple[np.ndarray, int, int] | None]]:
+    """(seconds, rendered image or None) of each display set."""
+    display, palette, parts = None, {}, {}
     for pts, kind, payload in segments(data):
         if kind == COMPOSITION:
             display = parse_composition(payload)
@@ -171,25 +171,26 @@ def display_sets(data: bytes, most: int | None = None) -> Iterator[tuple[float,
         elif kind == OBJECT:
             add_object(payload, parts)
         elif kind == END:
-            if most is not None and count >= most:
-                return
-            count += 1
             yield pts / CLOCK, render(display, palette, parts)
 
 
-def _scan(with_png: bool, most: int | None):
+def is_usable(shown: tuple[np.ndarray, int, int] | None) -> bool:
+    return shown is not None and shown[1] > USABLE_WIDTH and shown[2] > USABLE_HEIGHT
+
+
+def _scan(with_png: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
                 rows = []
-                for k, (pts, shown) in enumerate(display_sets(bytes(content), most) if content is not None else []):
+                for k, (pts, shown) in enumerate(display_sets(bytes(content)) if content is not None else []):
                     if shown is None:
                         rows.append((file, k, pts, None, None, None, None, False, None, None))
                         continue
                     image, cw, ch = shown
                     coded = png.encode(image)
                     rows.append((
-                        file, k, pts, image.shape[1], image.shape[0], cw, ch, cw > USABLE_WIDTH and ch > USABLE_HEIGHT,
+                        file, k, pts, image.shape[1], image.shape[0], cw, ch, is_usable(shown),
                         hashlib.sha1(coded).hexdigest(), coded if with_png else None,
                     ))
                     if len(rows) >= 200:
@@ -201,16 +202,44 @@ def _scan(with_png: bool, most: int | None):
     return run
 
 
+def preview(files: DataFrame, count: int = 3) -> DataFrame:
+    """The first ``count`` usable images of each stream: ``file, number, pts, end_pts, width, height, sha1, png``.
+
+    An image ends at the next display set with a later time, usable or not.  Reading stops at the
+    display set after the last image, so that one's end is null.  Images that are not usable don't
+    count; nothing behind the last one is decoded.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[list] = []
+            for file, content in zip(pdf["file"], pdf["content"], strict=True):
+                own: list[list] = []
+                for pts, shown in display_sets(bytes(content)) if content is not None and count > 0 else []:
+                    if own and own[-1][3] is None and pts > own[-1][2]:
+                        own[-1][3] = pts
+                    if is_usable(shown):
+                        coded = png.encode(shown[0])
+                        own.append([file, len(own) + 1, pts, None, shown[0].shape[1], shown[0].shape[0], hashlib.sha1(coded).hexdigest(), coded])
+                        if len(own) == count:
+                            break
+                rows += own
+            yield pd.DataFrame(rows, columns=["file", "number", "pts", "end_pts", "width", "height", "sha1", "png"])
+
+    schema = "file string, number int, pts double, end_pts double, width int, height int, sha1 string, png binary"
+    return files.select("file", "content").mapInPandas(run, schema)
+
+
 COLUMNS = ["file", "ord", "pts", "width", "height", "content_width", "content_height", "usable", "sha1", "png"]
 SCHEMA = "file string, ord int, pts double, width int, height int, content_width int, content_height int, usable boolean, sha1 string, png binary"
 
 
-def scan(files: DataFrame, with_png: bool = True, most: int | None = None) -> DataFrame:
+def scan(files: DataFrame, with_png: bool = True) -> DataFrame:
     """One row per display set of each stream; ``files`` has ``file, content`` (binary).
 
     Bytes that are no stream and null contents give no rows.
     """
-    return files.select("file", "content").mapInPandas(_scan(with_png, most), SCHEMA)
+    return files.select("file", "content").mapInPandas(_scan(with_png), SCHEMA)
 
 
 def count_sets(files: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.functions.text import clean_subtitle_text, strip
 from cuefold.functions.timecode import srt_time
+from cuefold.operators.blocked import numbered
 
 BOM = "\ufeff"
 
@@ -20,19 +21,25 @@ def emitted(df: DataFrame) -> DataFrame:
     return df.where((strip(F.col("text")) != "") & (F.col("end") > F.col("start")))
 
 
+#: Orders per block in which cues are numbered.
+BLOCK = 4096
+
+
 def srt_bodies(df: DataFrame, key: list[str], order: str, recognised: bool = False) -> DataFrame:
-    """``key, body, cues``: one SRT text per key, cues numbered from 1 in ``order``.
+    """``key, body, cues``: one SRT text per key, cues numbered from 1 in the numeric ``order``.
 
     Text cues are filtered and cleaned; recognised ones (``recognised``) are written as they
-    are if they have a text.  One key is one output file, so it is gathered in one row.
+    are if they have a text.  Cues are numbered in blocks of the order.  One key is one output
+    file and one row in the end, so its text must stay under the 2 GB of a value: some ten
+    million cues of 150 characters.
     """
     rows = df.where("text is not null") if recognised else emitted(df)
     text = F.col("text") if recognised else clean_subtitle_text(F.col("text"))
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    block = cue_block(number, F.col("start"), F.col("end"), text)
+    rows = rows.select(*key, F.col(order).alias("o"), "start", "end", text.alias("text"))
+    rows = numbered(rows, key, F.floor(F.col("o") / BLOCK), ["o"], "number")
     return (
-        rows.select(*key, F.col(order).alias("o"), block.alias("block"))
-        .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "block"))).alias("blocks"))
+        rows.select(*key, "number", cue_block(F.col("number"), F.col("start"), F.col("end"), F.col("text")).alias("block"))
+        .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("number", "block"))).alias("blocks"))
         .select(*key, F.concat(F.array_join(F.col("blocks.block"), "\n\n"), F.lit("\n")).alias("body"), F.size("blocks").alias("cues"))
     )
 

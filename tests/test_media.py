@@ -38,7 +38,10 @@ def test_streams(spark):
     assert rows[0].content_width == 38 and rows[0].width == 38 + 48
     assert [(r.file, r.usable) for r in rows if r.file in "bcd"] == [("d", False)]
     assert {r.file: r.sets for r in pgs.count_sets(df).collect()} == {"a": 4, "b": 0, "c": 0, "d": 1, "e": 3}
-    assert pgs.scan(df, most=2).where("file = 'a'").count() == 2
+    first = {(r.file, r.number): (r.pts, r.end_pts) for r in pgs.preview(df, 2).collect()}
+    assert first == {("a", 1): (1.0, 3.0), ("a", 2): (4.0, None), ("e", 1): (1.0, 3.0), ("e", 2): (4.0, None)}
+    assert {(r.pts, r.end_pts) for r in pgs.preview(df, 9).where("file = 'a'").collect()} == {(1.0, 3.0), (4.0, 6.5)}
+    assert pgs.preview(df, 0).count() == 0
     ends = {r.pts: r.end_ms for r in timing.display_ends(pgs.scan(df, False).where("file = 'a'"), F.col("usable")).collect()}
     assert ends == {1.0: 3.0, 4.0: 6.5}
 

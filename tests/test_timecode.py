@@ -26,7 +26,12 @@ def test_strict_time(one, text, out):
 
 @pytest.mark.parametrize("text, out", [("", 23.976), (None, 23.976), ("25", 25.0), ("24000 / 1001", 24000 / 1001), ("0", None), ("x", None), ("1d", None), ("1/0", None)])
 def test_fps(one, text, out):
-    assert one(C.parse_fps, text) == out
+    assert one(lambda c: C.parse_fps(c, strict=False), text) == out
+    if out is None:
+        with pytest.raises(Exception, match="unusable frame rate"):
+            one(C.parse_fps, text)
+    else:
+        assert one(C.parse_fps, text) == out
 
 
 @pytest.mark.parametrize("text, out", [
