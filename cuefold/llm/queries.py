@@ -158,7 +158,9 @@ def p7_uses(spark, sf):
     return _mixture(spark, sf)[0].withColumnRenamed("ident", "doc_id")
 
 
-_WANTED = F.least(F.col("weight") * F.col("budget"), (F.col("max_uses") * F.col("tokens")).cast("double"))
+def _wanted():
+    """Tokens wanted of a source: its share, or all it can give."""
+    return F.least(F.col("weight") * F.col("budget"), (F.col("max_uses") * F.col("tokens")).cast("double"))
 
 
 def p7_targets(spark, sf):
@@ -166,15 +168,15 @@ def p7_targets(spark, sf):
     uses, report = _mixture(spark, sf)
     longest = uses.groupBy("source").agg(F.max("tokens").alias("longest"))
     return report.join(longest, "source", "left").select(
-        "source", "weight", "max_uses", "docs", "tokens", "budget", "falls_short", F.round(_WANTED, 3).alias("wanted"),
-        (F.abs(F.col("used_tokens") - _WANTED) <= F.coalesce("longest", F.lit(0))).alias("reached"),
+        "source", "weight", "max_uses", "docs", "tokens", "budget", "falls_short", F.round(_wanted(), 3).alias("wanted"),
+        (F.abs(F.col("used_tokens") - _wanted()) <= F.coalesce("longest", F.lit(0))).alias("reached"),
     )
 
 
 def p7_limits(spark, sf):
     """Per document whether its uses are its source's expected ones, rounded down or up, and within ``max_uses``."""
     uses, report = _mixture(spark, sf)
-    rates = report.select("source", "max_uses", (_WANTED / F.col("tokens")).alias("rate"))
+    rates = report.select("source", "max_uses", (_wanted() / F.col("tokens")).alias("rate"))
     within = F.col("uses").between(F.floor(F.col("rate") + 1e-9), F.ceil(F.col("rate") - 1e-9)) & (F.col("uses") <= F.col("max_uses"))
     return uses.join(rates, "source").select(F.col("ident").alias("doc_id"), "source", "tokens", within.alias("within_uses"))
 
