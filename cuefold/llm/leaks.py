@@ -337,24 +337,43 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[a : a + 4096] @ centres.T).argmax(1) for a in range(0, len(x), 4096)])
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, with one bit per word of ``a``."""
-    where: dict[int, int] = {}
-    for k, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
+def common_subsequence(where: dict[int, int], size: int, words: list[int]) -> int:
+    """Length of the longest common subsequence of ``words`` and an item of ``size`` words.
+
+    ``where`` has a bit for each place of a word in the item.
+    """
+    full = (1 << size) - 1
     v = full
-    for x in b.tolist():
+    for x in words:
         if m := where.get(x):
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return size - v.bit_count()
+
+
+def places_of_words(own: np.ndarray) -> dict[int, int]:
+    where: dict[int, int] = {}
+    for k, x in enumerate(own.tolist()):
+        where[x] = where.get(x, 0) | 1 << k
+    return where
 
 
-def kept_share(own: np.ndarray, ids: np.ndarray, places: list[int], n: int) -> float:
-    """The best share of the item's words that is kept in order around one of ``places``."""
-    around = (ids[max(0, place - len(own)) : place + 2 * n + len(own)] for place in places)
-    return max(common_subsequence(own, near) for near in around) / len(own)
+def kept_share(own: np.ndarray, where: dict[int, int], ids: np.ndarray, places: list[int], n: int, least: float = 0.0) -> float:
+    """The best share of the item's words that is kept in order around one of ``places``; 0 if under ``least``.
+
+    No more words can be kept around a place than stand there, so places with the most of the
+    item's words come first and one that cannot beat the best found is not looked at.
+    """
+    hits = np.flatnonzero(np.isin(ids, own))
+    at = np.array(places)
+    low, high = np.searchsorted(hits, at - len(own)), np.searchsorted(hits, at + 2 * n + len(own))
+    best, need = 0, least * len(own)
+    for k in np.argsort(low - high, kind="stable").tolist():
+        most = min(int(high[k] - low[k]), len(own))
+        if most <= best or most < need:
+            break
+        best = max(best, common_subsequence(where, len(own), ids[hits[low[k] : high[k]]].tolist()))
+    return best / len(own) if best >= need else 0.0
 
 
 def shared_runs(ids: np.ndarray, items: Items, grams: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> dict[int, int]:
@@ -474,8 +493,9 @@ def _candidates(docs: list[np.ndarray], items: Items, space: Space, cells: Cells
         yield now, pairs
 
 
-def _search(items: Items, space: Space, cells: Cells, cosine: float, rewordings: bool):
+def _search(items: Items, space: Space, cells: Cells, cosine: float, rewordings: bool, least_kept: float):
     n = items.n
+    where: dict[int, dict[int, int]] = {}
 
     def checked(ids: np.ndarray, pairs: list[tuple], grams: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
         longest = shared_runs(ids, items, grams, np.array([k for k, _, _ in pairs]))
@@ -483,7 +503,11 @@ def _search(items: Items, space: Space, cells: Cells, cosine: float, rewordings:
             run_words = longest.get(k, 0)
             if run_words or (rewordings and c >= PARAPHRASE_COSINE):
                 own, answer = items.words(k), items.answers[k]
-                kept = kept_share(own, ids, places, n) if rewordings else None
+                if rewordings and k not in where:
+                    where[k] = places_of_words(own)
+                kept = kept_share(own, where[k], ids, places, n, 0.0 if run_words else least_kept) if rewordings else None
+                if not run_words and kept < least_kept:
+                    continue
                 yield items.ids[k], c, run_words, kept, None if answer is None else has_answer(ids, answer, places, 2 * n + len(own))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -509,7 +533,7 @@ def _search(items: Items, space: Space, cells: Cells, cosine: float, rewordings:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, ident: str, text: str, item_ident: str, item_text: str,
-    min_words: int = 12, cosine: float = COSINE, rewordings: bool = True, item_answer: str | None = None,
+    min_words: int = 12, cosine: float = COSINE, rewordings: bool = True, item_answer: str | None = None, least_kept: float = 0.0,
 ) -> DataFrame:
     """Pairs of item and document that share a run of words or are near in meaning.
 
@@ -518,7 +542,8 @@ def find_leaks(
     item, else 0), ``kept`` (longest common subsequence around any passage above
     ``PARAPHRASE_COSINE`` as a share of the item's words) and ``answered`` (whether the item's
     ``item_answer`` stands near one of these passages, null for an item without one).
-    Candidates without such a run and with a cosine under ``PARAPHRASE_COSINE`` are left out.
+    Candidates without such a run and with a cosine under ``PARAPHRASE_COSINE`` or ``kept`` under
+    ``least_kept`` are left out.
     Without ``rewordings`` only shared runs are looked for, which costs far less, and ``kept`` is null.
 
     Letter case, punctuation, markup, line breaks, cue numbers, cue timing and look-alike
@@ -550,6 +575,6 @@ def find_leaks(
     m = max(1, -(-dense.count() // FIT_DOCUMENTS))
     sample = cut(dense.where(F.pmod(F.xxhash64("ident"), F.lit(m)) == 0).repartition(FIT_TASKS))
     space = fit_space(sample, idf, bank)
-    out = found.drop("n").mapInPandas(_search(bank, space, Cells.of(bank, space), cosine, rewordings), schema)
+    out = found.drop("n").mapInPandas(_search(bank, space, Cells.of(bank, space), cosine, rewordings, least_kept), schema)
     best = [F.max(c).alias(c) for c in ("cosine", "run_words", "kept", "answered")]
     return out.groupBy("item", "ident").agg(*best)

@@ -115,8 +115,12 @@ def p4_runs(spark, sf):
     )
 
 
+#: Share of an item's words, in order, from which a rewording is reported.
+KEPT = 0.6
+
+
 def _leaks(spark, sf, rewordings):
-    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_item"), "doc_id", "text", "item_id", "text", rewordings=rewordings)
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_item"), "doc_id", "text", "item_id", "text", rewordings=rewordings, least_kept=KEPT)
 
 
 def p6_leaks(spark, sf):
