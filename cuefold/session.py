@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,7 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own; on a cluster a
-    missing setting is an error, as executors share no temporary folder.
+    missing setting is an error, as executors share no temporary folder.  The local folder
+    is removed at exit; in a shared one Spark removes what is no longer referred to if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -42,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuefold-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="cuefold-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -51,9 +57,12 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its source has fewer partitions than there are cores.
 
     For work that costs much more than moving its input: a small file is one partition
-    else.  Inputs of any size have partitions enough and stay as they are.
+    else.  Inputs of any size have partitions enough and stay as they are, and so do inputs
+    that are shuffled anyway, which asking for partitions would run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
