@@ -226,8 +226,16 @@ class Space:
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         """Projected TF-IDF vectors of rows of word numbers; -1 stands for no word."""
         out = np.zeros((len(rows), self.basis.shape[1]), np.float32)
+        # Words that occur get a small table of their own; places without a word are left out.
+        there = np.zeros(len(self.idf), bool)
+        there[rows] = True
+        words = np.flatnonzero(there)
+        number = np.zeros(len(self.idf), np.int32)
+        number[words] = np.arange(len(words))
+        table = self.basis[self.feature[words]] * self.idf[words, None]
         for k in range(rows.shape[1]):
-            out += self.basis[self.feature[rows[:, k]]] * self.idf[rows[:, k], None]
+            at = np.flatnonzero(rows[:, k] >= 0)
+            out[at] += table[number[rows[at, k]]]
         return out
 
     def spread_back(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,13 +366,16 @@ def places_of_words(own: np.ndarray) -> dict[int, int]:
     return where
 
 
-def kept_share(own: np.ndarray, where: dict[int, int], ids: np.ndarray, places: list[int], n: int, least: float = 0.0) -> float:
+def kept_share(own: np.ndarray, where: dict[int, int], ids: np.ndarray, places: list[int], n: int, marks: np.ndarray, least: float = 0.0) -> float:
     """The best share of the item's words that is kept in order around one of ``places``; 0 if under ``least``.
 
     No more words can be kept around a place than stand there, so places with the most of the
-    item's words come first and one that cannot beat the best found is not looked at.
+    item's words come first and one that cannot beat the best found is not looked at.  ``marks``
+    is false for every word number, and for -1 behind them; it is left so.
     """
-    hits = np.flatnonzero(np.isin(ids, own))
+    marks[own] = True
+    hits = np.flatnonzero(marks[ids])
+    marks[own] = False
     at = np.array(places)
     low, high = np.searchsorted(hits, at - len(own)), np.searchsorted(hits, at + 2 * n + len(own))
     best, need = 0, least * len(own)
@@ -496,16 +507,17 @@ def _candidates(docs: list[np.ndarray], items: Items, space: Space, cells: Cells
 def _search(items: Items, space: Space, cells: Cells, cosine: float, rewordings: bool, least_kept: float):
     n = items.n
     where: dict[int, dict[int, int]] = {}
+    marks = np.zeros(len(items.vocabulary) + 1, bool)
 
     def checked(ids: np.ndarray, pairs: list[tuple], grams: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
-        longest = shared_runs(ids, items, grams, np.array([k for k, _, _ in pairs]))
+        longest = {} if not len(_passages(ids, n, n)) else shared_runs(ids, items, grams, np.array([k for k, _, _ in pairs]))
         for k, c, places in pairs:
             run_words = longest.get(k, 0)
             if run_words or (rewordings and c >= PARAPHRASE_COSINE):
                 own, answer = items.words(k), items.answers[k]
                 if rewordings and k not in where:
                     where[k] = places_of_words(own)
-                kept = kept_share(own, where[k], ids, places, n, 0.0 if run_words else least_kept) if rewordings else None
+                kept = kept_share(own, where[k], ids, places, n, marks, 0.0 if run_words else least_kept) if rewordings else None
                 if not run_words and kept < least_kept:
                     continue
                 yield items.ids[k], c, run_words, kept, None if answer is None else has_answer(ids, answer, places, 2 * n + len(own))
