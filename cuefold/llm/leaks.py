@@ -48,13 +48,13 @@ PARAPHRASE_COSINE = 0.6
 #: Words from one indexed run of an item to the next.
 STRIDE = 4
 #: Runs of a cell on average, most cells, and cells a passage is compared with.
-CELL_RUNS, MOST_CELLS, PROBES = 64, 2048, 16
+CELL_RUNS, MOST_CELLS, PROBES = 64, 2048, 32
 #: Runs the cells' centres are fitted on, at most; every run is indexed.
 CELL_SAMPLE = 20_000
 #: Runs whose vectors a task holds at a time.
-RUN_TILE = 65_536
+RUN_TILE = 262_144
 #: Words of documents whose passages are compared at a time.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000
 
 _MARK = 0xE000  # a private sign that parts texts
 _TIMING = re.compile(r"^(?:[ \t]*\d+[ \t]*\r?\n)?[^\n]*-->[^\n]*$", re.M)
@@ -404,6 +404,9 @@ def shared_runs(ids: np.ndarray, items: Items, grams: tuple[np.ndarray, np.ndarr
         k = np.searchsorted(items.bounds, j, "right") - 1
         keep = np.isin(k, wanted)
         i, j, k = i[keep], j[keep], k[keep]
+        if not len(i):
+            open_runs = {}
+            continue
         order = np.lexsort((i, j - i))
         i, j, k = i[order], j[order], k[order]
         first = np.flatnonzero((np.diff(j - i, prepend=np.iinfo(np.int64).min // 2) != 0) | (np.diff(i, prepend=-2) != 1) | (np.diff(k, prepend=-1) != 0))
@@ -446,7 +449,9 @@ def _near_pairs(v: np.ndarray, least: np.ndarray, items: Items, space: Space, ce
     for a in range(0, len(cells.order), RUN_TILE):
         b = min(a + RUN_TILE, len(cells.order))
         # The vectors of a single tile are kept, those of several are made anew for each batch.
-        runs = tiles[0] if tiles else _normed(space.vectors(items.runs(cells.order[a:b])))
+        runs = tiles[0] if tiles else np.empty((b - a, space.basis.shape[1]), np.float32)
+        for k in range(a, b if not tiles else a, 16_384):
+            runs[k - a : k - a + 16_384] = _normed(space.vectors(items.runs(cells.order[k : min(k + 16_384, b)])))
         if not tiles and len(cells.order) <= RUN_TILE:
             tiles.append(runs)
         for c in range(int(np.searchsorted(cells.bounds, a, "right")) - 1, int(np.searchsorted(cells.bounds, b))):
@@ -489,6 +494,8 @@ def _candidates(docs: list[np.ndarray], items: Items, space: Space, cells: Cells
     rows = every[(place + shift[owner])[:, None] + np.arange(2 * n)]
     least = np.where((rows >= 0).sum(1) >= n, cosine, max(cosine, PARAPHRASE_COSINE))
     p, item, c = _near_pairs(_normed(space.vectors(rows)), least, items, space, cells, tiles)
+    if not len(p):
+        return
     order = np.lexsort((place[p], -c, item, owner[p]))
     doc, item, c, place = owner[p][order], item[order], c[order], place[p][order]
     best = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))

@@ -41,7 +41,7 @@ def test_equals_brute_force(spark, monkeypatch):
             text[at:at] = own[a : a + size]
         docs.append((k, " ".join(text)))
     docs += [(900, None), (901, ""), docs[0]]
-    for tile in (65_536, 50):
+    for tile in (K.RUN_TILE, 50):
         monkeypatch.setattr(K, "RUN_TILE", tile)
         got = run(spark, docs, items)
         assert {k for k, r in got.items() if r.run_words} == brute(docs, items, 12)
@@ -96,7 +96,7 @@ def _bank(rng, count):
 
 def test_recall_of_the_cells(spark, monkeypatch):
     """With far more cells than are looked into, verbatim leaks are still found (recall against brute force)."""
-    monkeypatch.setattr(K, "CELL_RUNS", 8)
+    monkeypatch.setattr(K, "CELL_RUNS", 6)
     monkeypatch.setattr(K, "PROBES", 16)
     rng = random.Random(8)
     vocabulary, items = _bank(rng, 400)
@@ -147,3 +147,14 @@ def test_repeated_word(spark):
     """A run longer than what is compared at a time keeps its length."""
     got = run(spark, [(1, "x " + "a " * 9000 + "y")], [(1, "a " * 5000), (2, "b " * 20)])
     assert {k: r.run_words for k, r in got.items()} == {(1, 1): 5000}
+
+
+def test_no_candidates(spark):
+    """Documents with words of items, but no passage near any; and a run shared with an item that is no candidate."""
+    rng = random.Random(4)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(40)]
+    docs = [(k, " ".join(rng.choice([f"i{rng.randrange(40)}w{rng.randrange(30)}", "x"]) for _ in range(60))) for k in range(30)]
+    assert {k for k, r in run(spark, docs, items).items() if r.run_words} == set()
+    bank = K.Items.of([(0, "a b c d e f g h i j k l m n", None), (1, "z y x w v u t s r q p o", None)], 12)
+    ids = bank.words(0)
+    assert K.shared_runs(ids, bank, bank.grams(), K.np.array([0, 1])) == {0: 14} and K.shared_runs(ids, bank, bank.grams(), K.np.array([1])) == {}
