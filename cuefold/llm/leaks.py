@@ -457,8 +457,9 @@ def _near_pairs(v: np.ndarray, least: np.ndarray, items: Items, space: Space, ce
         for c in range(int(np.searchsorted(cells.bounds, a, "right")) - 1, int(np.searchsorted(cells.bounds, b))):
             p = passage[edge[c] : edge[c + 1]]
             low, high = max(a, cells.bounds[c]), min(b, cells.bounds[c + 1])
-            for at in range(0, len(p) if low < high else 0, 4096):
-                some = p[at : at + 4096]
+            step = max(1, 2_000_000 // max(1, high - low))
+            for at in range(0, len(p) if low < high else 0, step):
+                some = p[at : at + step]
                 near = v[some] @ runs[low - a : high - a].T
                 i, j = np.nonzero(near >= least[some, None])
                 if len(i):
