@@ -70,7 +70,7 @@ def landing(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "ident"], kind="stable").reset_index(drop=True)
-        t = pdf["tokens"].to_numpy(float)
+        t = pdf["tokens"].fillna(0).to_numpy(float)
         p = flight(pdf["p"].to_numpy(float), t)
         pdf["p"] = landing(p, t) if last else p
         return pdf[["ident", "source", "tokens", "whole", "p"]]
@@ -115,8 +115,8 @@ def mix_sources(
     used_tokens, share`` (of all used tokens).
 
     Documents without a source or of a source not aimed at are used nowhere, and the former
-    do not count for the budget.  Null texts have 0 tokens.  A repeated ident stands for as
-    many documents.  With no documents used every share is null; targets without documents
+    do not count for the budget.  Null tokens count as 0 and stay null in ``uses``.  A repeated
+    ident stands for as many documents.  With no documents used every share is null; targets without documents
     stay in the report.  ``targets`` is one row per source; null weights aim at nothing.
     """
     texts = spread(df)
