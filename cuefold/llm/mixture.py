@@ -4,13 +4,17 @@ Each document of a source has the same expected number of uses; its whole part
 is used outright and the fraction is an inclusion probability.  The flight phase
 moves probabilities along directions in the null space of the balancing
 constraints (tokens and documents of the source), so both totals stay fixed while
-one document after the other reaches 0 or 1.  Documents fly in groups of bounded
-size; what is left undecided, at most two per group, flies again until a handful
-per source remains for the landing.
+one document after the other reaches 0 or 1.  Which way along a direction is drawn,
+with chances that leave every expected number of uses as it was.  Documents fly in
+groups of bounded size; what is left undecided, at most two per group, flies again
+until at most two per source remain.  The landing decides those by giving up one
+constraint after the other, the number of documents before the tokens.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,55 +29,67 @@ MOST_SOURCES = 10_000
 _EPS = 1e-9
 
 
-def flight(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+def _move(x: list[float], window: list[int], u: tuple[float, ...], draw: float) -> list[int]:
+    """Move ``x`` along ``u``, one way or the other, as far as 0 and 1 allow; what of ``window`` is still open.
+
+    The way is taken with a chance in proportion to how far the other one leads, so ``x`` is kept in expectation.
+    """
+    moved = [(k, d) for k, d in zip(window, u, strict=True) if d]
+    ahead = min((1 - x[k]) / d if d > 0 else -x[k] / d for k, d in moved)
+    back = min(x[k] / d if d > 0 else (x[k] - 1) / d for k, d in moved)
+    step = ahead if draw * (ahead + back) < back else -back
+    for k, d in moved:
+        v = x[k] + step * d
+        x[k] = 0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v
+    return [k for k in window if 0 < x[k] < 1]
+
+
+def flight(p: np.ndarray, tokens: np.ndarray, seed: int = 0) -> np.ndarray:
     """Inclusion probabilities after the flight: all but at most two are 0 or 1.
 
-    Sums of p and of p * tokens stay the same.
+    Sums of p and of p * tokens stay the same, and so does each p in expectation over the seeds.
     """
     x, t = [float(v) for v in p], [float(v) for v in tokens]
-    waiting = iter([k for k, v in enumerate(x) if 0 < v < 1])
+    draws = iter(np.random.default_rng([seed, 0]).random(len(x)).tolist())
     window: list[int] = []
-    for new in waiting:
+    for new in [k for k, v in enumerate(x) if 0 < v < 1]:
         window.append(new)
         while len(window) == 3:
             a, b, c = window
             # The direction orthogonal to (1, 1, 1) and to the tokens.
             u = (t[b] - t[c], t[c] - t[a], t[a] - t[b])
-            if not any(u):
-                u = (1.0, -1.0, 0.0)
-            step = min((1 - x[k]) / d if d > 0 else -x[k] / d for k, d in zip(window, u, strict=True) if d)
-            kept = []
-            for k, d in zip(window, u, strict=True):
-                v = x[k] + step * d
-                x[k] = 0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v
-                if 0 < x[k] < 1:
-                    kept.append(k)
-            window = kept
+            window = _move(x, window, u if any(u) else (1.0, -1.0, 0.0), next(draws))
+    return np.array(x)
+
+
+def landing(p: np.ndarray, tokens: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Decide what the flight left: first the tokens alone stay the same, the last document is drawn.
+
+    The tokens miss the expected ones by less than those of the longest document; each p is
+    kept in expectation over the seeds.
+    """
+    x, t = [float(v) for v in p], [float(v) for v in tokens]
+    draws = iter(np.random.default_rng([seed, 1]).random(len(x)).tolist())
+    window: list[int] = []
+    for new in [k for k, v in enumerate(x) if 0 < v < 1]:
+        window.append(new)
+        while len(window) == 2:
+            u = (t[window[1]], -t[window[0]])
+            window = _move(x, window, u if any(u) else (1.0, -1.0), next(draws))
+    if window:
+        _move(x, window, (1.0,), next(draws))
     return np.array(x)
 
 
-def landing(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Decide what the flight left: the subset whose tokens come nearest to the expected ones."""
-    p = p.copy()
-    left = [k for k in range(len(p)) if 0 < p[k] < 1]
-    if left:
-        goal, best = (p[left] * tokens[left]).sum(), None
-        for mask in range(1 << len(left)):
-            taken = np.array([mask >> j & 1 for j in range(len(left))], float)
-            miss = (abs((taken * tokens[left]).sum() - goal), abs(taken.sum() - p[left].sum()), mask)
-            if best is None or miss < best[0]:
-                best = (miss, taken)
-        p[left] = best[1]
-    return p
-
-
-def _fly(last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "ident"], kind="stable").reset_index(drop=True)
+def _fly(last: bool, turn: int, seed: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # Draws depend on the group and its documents alone, so a task that runs again draws the same.
+        drawn = zlib.crc32(repr((seed, turn, int(key[0]), int(key[1]))).encode())
+        pdf = pdf.sort_values(["tokens", "ident", "p"], kind="stable").reset_index(drop=True)
         t = pdf["tokens"].fillna(0).to_numpy(float)
-        p = flight(pdf["p"].to_numpy(float), t)
-        pdf["p"] = landing(p, t) if last else p
-        return pdf[["ident", "source", "tokens", "whole", "p"]]
+        p = flight(pdf["p"].to_numpy(float), t, drawn)
+        pdf["p"] = landing(p, t, drawn) if last else p
+        return pdf[["ident", "source", "target", "tokens", "whole", "p"]]
 
     return run
 
@@ -106,7 +122,7 @@ def mix_plan(docs: DataFrame, targets: DataFrame, source: str) -> DataFrame:
 
 
 def mix_sources(
-    df: DataFrame, targets: DataFrame, ident: str, source: str, tokens: Column, group: int = GROUP
+    df: DataFrame, targets: DataFrame, ident: str, source: str, tokens: Column, group: int = GROUP, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """(uses, report) of the mixture.
 
@@ -116,44 +132,46 @@ def mix_sources(
 
     Documents without a source or of a source not aimed at are used nowhere, and the former
     do not count for the budget.  Null tokens count as 0 and stay null in ``uses``.  A repeated
-    ident stands for as many documents.  With no documents used every share is null; targets without documents
-    stay in the report.  ``targets`` is one row per source; null weights aim at nothing.
+    ident stands for as many documents.  With no documents used every share is null; targets
+    without documents stay in the report.  ``targets`` is one row per source; null weights aim
+    at nothing.  Targets of one source that differ are drawn each by itself.  The same ``seed``
+    draws the same uses.
     """
     texts = spread(df)
     docs = cut(texts.select(F.col(ident).alias("ident"), F.col(source).alias("source"), tokens.alias("tokens")))
-    plan = cut(mix_plan(docs, targets, source))
+    plan = cut(mix_plan(docs, targets, source).withColumn("target", F.xxhash64("source", "weight", "max_uses")))
     kind = docs.schema["ident"].dataType.simpleString()
-    rates = _small(plan.where("docs > 0 and uses is not null").select("source", "uses"))
+    rates = _small(plan.where("docs > 0 and uses is not null").select("source", "target", "uses"))
     part = (
         docs.join(rates, "source")
         .withColumn("whole", F.floor(F.col("uses") + _EPS))
         .withColumn("p", F.greatest(F.col("uses") - F.col("whole"), F.lit(0.0)))
     )
-    settled = part.where(f"p <= {_EPS}").select("ident", "source", "tokens", F.col("whole").alias("uses"))
-    rest = part.where(f"p > {_EPS}").select("ident", "source", "tokens", "whole", "p")
-    schema = f"ident {kind}, source string, tokens long, whole long, p double"
+    settled = part.where(f"p <= {_EPS}").select("ident", "source", "target", "tokens", F.col("whole").alias("uses"))
+    rest = part.where(f"p > {_EPS}").select("ident", "source", "target", "tokens", "whole", "p")
+    schema = f"ident {kind}, source string, target long, tokens long, whole long, p double"
     decided = []
     while True:
         # Each round leaves at most two documents of a group, so rounds are few.
-        sizes = cut(rest.groupBy("source").agg(F.count("*").alias("n_open")))
+        sizes = cut(rest.groupBy("target").agg(F.count("*").alias("n_open")))
         most = sizes.agg(F.max("n_open")).first()[0]
         if not most:
             break
         last = most <= group
         bucket = F.lit(0) if last else F.pmod(F.xxhash64("ident", F.lit(len(decided))), F.ceil(F.col("n_open") / group))
-        flown = cut(rest.join(_small(sizes), "source").groupBy("source", bucket.alias("bucket")).applyInPandas(_fly(last), schema))
+        flown = cut(rest.join(_small(sizes), "target").groupBy("target", bucket.alias("bucket")).applyInPandas(_fly(last, len(decided), seed), schema))
         decided.append(flown.where("p <= 0 or p >= 1"))
         if last:
             break
         rest = flown.where("p > 0 and p < 1")
     uses = settled
     for d in decided:
-        uses = uses.unionByName(d.select("ident", "source", "tokens", (F.col("whole") + F.round("p").cast("long")).alias("uses")))
-    used = cut(uses.groupBy("source").agg(F.sum("uses").alias("used_docs"), F.sum(F.col("uses") * F.col("tokens")).alias("used_tokens")))
+        uses = uses.unionByName(d.select("ident", "source", "target", "tokens", (F.col("whole") + F.round("p").cast("long")).alias("uses")))
+    used = cut(uses.groupBy("target").agg(F.sum("uses").alias("used_docs"), F.sum(F.col("uses") * F.col("tokens")).alias("used_tokens")))
     total = used.agg(F.sum("used_tokens")).first()[0]
-    report = plan.drop("uses").join(used, "source", "left").withColumns({
+    report = plan.drop("uses").join(used, "target", "left").drop("target").withColumns({
         "used_docs": F.coalesce("used_docs", F.lit(0)),
         "used_tokens": F.coalesce("used_tokens", F.lit(0)),
         "share": F.coalesce("used_tokens", F.lit(0)) / F.lit(float(total) if total else None).cast("double"),
     })
-    return uses, report
+    return uses.drop("target"), report
