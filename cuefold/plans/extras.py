@@ -95,7 +95,8 @@ def _parts(row) -> bytes:
     k = row.cue_id % 5
     two = b"".join(b"\0\x8a\1\0\x8a\2\0\0" for _ in range(10))
     one = b"".join(b"\0\x8a\2\0\0" for _ in range(8))
-    segment = lambda at, kind, body: b"PG" + struct.pack(">IIBH", int(at * 90_000 + 0.5), 0, kind, len(body)) + body
+    # The clock of a stream has 32 bits and starts again every 13 hours; the images don't depend on it.
+    segment = lambda at, kind, body: b"PG" + struct.pack(">IIBH", int(at * 90_000 + 0.5) & 0xFFFFFFFF, 0, kind, len(body)) + body
     screen = lambda flag, *objects: struct.pack(">HHBHBBB", 1920, 1080, 16, 0, 0x80, flag, 0) + bytes([len(objects)]) + b"".join(struct.pack(">HBBHH", i, 0, 0, x, y) for i, x, y in objects)
     first = lambda i, flags, w, h, data, size: struct.pack(">HBB", i, 0, flags) + (size + 4).to_bytes(3, "big") + struct.pack(">HH", w, h) + data
     colours = lambda *entries: b"\0\0" + b"".join(bytes([n, *c]) for n, c in entries)

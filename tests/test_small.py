@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from cuefold.functions import text as T
 from cuefold.operators import summary
+from cuefold.plans import extras
 from cuefold.plans.extras import _parts
 from cuefold.sources import formats as X
 from cuefold.sources import images, pgs, report
@@ -76,6 +77,19 @@ def test_pixels_of_a_stream_in_parts():
     assert third == [[red] * 10] * 10
 
 
+def test_streams_in_parts_past_the_clock(spark, tmp_path):
+    """Starts that the 32-bit clock cannot hold, one where it starts again within the cue and one before 0."""
+    starts = [2.0, 2**32 / 90_000 - 0.3, 50_000.0, 147_863.661, -1.0]
+    rows = [(k, "f", s, s + 1) for k, s in enumerate(starts)]
+    spark.createDataFrame(rows, "cue_id long, file string, start double, end double").write.parquet(str(tmp_path / "ref_cue.parquet"))
+    got = sorted(tuple(r) for r in extras.pgs_parts(spark, str(tmp_path)).collect())
+    red, green, blue = "238 14 14", "134 246 134", "16 15 239"
+    want = []
+    for cue in [4, 0, 1, 2, 3]:
+        want += [(40 + cue % 5, 13, f"{red}, {green}"), (20, 10, f"{blue}, {green}"), (10, 10, f"{red}, {red}")]
+    assert got == [("f#0", k, w, h, True, corners) for k, (w, h, corners) in enumerate(want)]
+
+
 def test_objects_are_kept_until_others_come():
     """A composition without objects shows nothing and keeps the store; one with objects empties it."""
     def composition(*objects):
