@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cuefold.functions import timecode as C
@@ -53,19 +57,46 @@ def frame_rates(spark, sf):
     return p.select("p_partkey", F.round(C.parse_fps(typed), 6).alias("fps"))
 
 
+class Cue(NamedTuple):
+    cue_id: int
+    start: float
+    end: float
+
+
 def _streams(spark, sf, write):
-    """Streams of up to 100 reference cues each, written by ``write(row) -> bytes``."""
+    """Streams of up to 100 reference cues each, written by ``write(cue) -> bytes``."""
     c = (
-        table(spark, sf, "ref_cue").where("start is not null and end is not null and end > start").select("file", "cue_id", "start", "end").distinct()
-        .withColumn("chunk", F.floor(F.col("cue_id") / 100))
+        table(spark, sf, "ref_cue").where("start is not null and end is not null and end > start")
+        .select("file", F.floor(F.col("cue_id") / 100).alias("chunk"), "cue_id", "start", "end")
+        # Rows are few, but pixels are many.  Repeated rows have one chunk, so this is the only exchange.
+        .repartition(2 * spark.sparkContext.defaultParallelism, "file", "chunk").distinct()
+        .sortWithinPartitions("file", "chunk", "start", "cue_id", "end")
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = b"".join(write(row) for row in pdf.sort_values(["start", "cue_id"]).itertuples())
-        return pd.DataFrame({"file": [f"{pdf.file.iloc[0]}#{pdf.chunk.iloc[0]}"], "content": [out]})
-
-    c = c.repartition(2 * spark.sparkContext.defaultParallelism, "file", "chunk")
-    return c.groupBy("file", "chunk").applyInPandas(run, "file string, content binary")
+    def batch(streams: list[tuple]) -> pa.RecordBatch:
+        names, contents = zip(*streams, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["file", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, done, held = None, [], [], 0
+        for b in batches:
+            file, chunk, *cue = (b.column(n).to_pylist() for n in ("file", "chunk", "cue_id", "start", "end"))
+            for key, row in zip(zip(file, chunk, strict=True), map(Cue, *cue), strict=True):
+                if key != now:
+                    if out:
+                        done.append((f"{now[0]}#{now[1]}", b"".join(out)))
+                        held += len(done[-1][1])
+                    now, out = key, []
+                    if held >= pgs.BATCH_BYTES:
+                        yield batch(done)
+                        done, held = [], 0
+                out.append(write(row))
+        if out:
+            done.append((f"{now[0]}#{now[1]}", b"".join(out)))
+        if done:
+            yield batch(done)
+
+    return c.mapInArrow(run, "file string, content binary")
 
 
 def _shown(row) -> bytes:
@@ -90,30 +121,46 @@ def pgs_preview(spark, sf):
 RED, GREEN, BLUE = (81, 240, 90, 255), (145, 34, 54, 128), (41, 110, 240, 255)
 
 
-def _parts(row) -> bytes:
-    """Three sets, byte by byte: an object in two fragments beside another one, a palette update, a palette of its own."""
-    k = row.cue_id % 5
+@cache
+def _sets(k: int) -> tuple[list[bytes], ...]:
+    """Three sets, byte by byte: an object in two fragments beside another one, a palette update, a palette of its own; segments from the byte behind their time."""
     two = b"".join(b"\0\x8a\1\0\x8a\2\0\0" for _ in range(10))
     one = b"".join(b"\0\x8a\2\0\0" for _ in range(8))
-    # The clock of a stream has 32 bits and starts again every 13 hours; the images don't depend on it.
-    segment = lambda at, kind, body: b"PG" + struct.pack(">IIBH", int(at * 90_000 + 0.5) & 0xFFFFFFFF, 0, kind, len(body)) + body
-    screen = lambda flag, *objects: struct.pack(">HHBHBBB", 1920, 1080, 16, 0, 0x80, flag, 0) + bytes([len(objects)]) + b"".join(struct.pack(">HBBHH", i, 0, 0, x, y) for i, x, y in objects)
-    first = lambda i, flags, w, h, data, size: struct.pack(">HBB", i, 0, flags) + (size + 4).to_bytes(3, "big") + struct.pack(">HH", w, h) + data
-    colours = lambda *entries: b"\0\0" + b"".join(bytes([n, *c]) for n, c in entries)
-    t = row.start
-    return b"".join([
-        segment(t, 0x16, screen(0, (7, 100, 800), (9, 130 + k, 805))), segment(t, 0x14, colours((1, RED), (2, GREEN))),
-        segment(t, 0x15, first(7, 0x80, 20, 10, two[:13], len(two))), segment(t, 0x15, struct.pack(">HBB", 7, 0, 0x40) + two[13:]),
-        segment(t, 0x15, first(9, 0xC0, 10, 8, one, len(one))), segment(t, 0x15, first(8, 0x80, 5, 5, one, len(one))), segment(t, 0x80, b""),
-        segment(t + 0.25, 0x16, screen(0x80, (7, 10, 20))), segment(t + 0.25, 0x14, colours((1, BLUE))), segment(t + 0.25, 0x15, first(7, 0xC0, 20, 10, two, len(two))), segment(t + 0.25, 0x80, b""),
-        segment(t + 0.5, 0x16, screen(0, (7, 10, 20), (9, 50, 20))), segment(t + 0.5, 0x14, colours((1, RED))), segment(t + 0.5, 0x15, first(7, 0xC0, 20, 10, two, len(two))), segment(t + 0.5, 0x80, b""),
-    ])
+    segment = lambda kind, body: struct.pack(">IBH", 0, kind, len(body)) + body
+    screen = lambda flag, *objects: segment(0x16, struct.pack(">HHBHBBB", 1920, 1080, 16, 0, 0x80, flag, 0) + bytes([len(objects)]) + b"".join(struct.pack(">HBBHH", i, 0, 0, x, y) for i, x, y in objects))
+    first = lambda i, flags, w, h, data, size: segment(0x15, struct.pack(">HBB", i, 0, flags) + (size + 4).to_bytes(3, "big") + struct.pack(">HH", w, h) + data)
+    colours = lambda *entries: segment(0x14, b"\0\0" + b"".join(bytes([n, *c]) for n, c in entries))
+    whole, end = first(7, 0xC0, 20, 10, two, len(two)), segment(0x80, b"")
+    return (
+        [
+            screen(0, (7, 100, 800), (9, 130 + k, 805)), colours((1, RED), (2, GREEN)), first(7, 0x80, 20, 10, two[:13], len(two)),
+            segment(0x15, struct.pack(">HBB", 7, 0, 0x40) + two[13:]), first(9, 0xC0, 10, 8, one, len(one)), first(8, 0x80, 5, 5, one, len(one)), end,
+        ],
+        [screen(0x80, (7, 10, 20)), colours((1, BLUE)), whole, end],
+        [screen(0, (7, 10, 20), (9, 50, 20)), colours((1, RED)), whole, end],
+    )
+
+
+def _parts(row) -> bytes:
+    """The three sets of a cue, a quarter second apart."""
+    out = []
+    for n, segments in enumerate(_sets(row.cue_id % 5)):
+        # The clock of a stream has 32 bits and starts again every 13 hours; the images don't depend on it.
+        head = b"PG" + (int((row.start + n / 4) * 90_000 + 0.5) & 0xFFFFFFFF).to_bytes(4, "big")
+        out += [head, head.join(segments)]
+    return b"".join(out)
+
+
+@lru_cache(pgs.REMEMBERED)
+def _corner(coded: bytes) -> str:
+    image = png.decode(coded)
+    at = lambda k: " ".join(str(int(v)) for v in image[k, k])
+    return at(pgs.PADDING) + ", " + at(-1 - pgs.PADDING)
 
 
 def _corners(coded: pd.Series) -> pd.Series:
     """First and last pixel inside the padding."""
-    at = lambda image, k: " ".join(str(int(v)) for v in image[k, k])
-    return coded.map(lambda b: None if b is None else (lambda i: at(i, pgs.PADDING) + ", " + at(i, -1 - pgs.PADDING))(png.decode(bytes(b))))
+    return coded.map(lambda b: None if b is None else _corner(bytes(b)))
 
 
 def pgs_parts(spark, sf):

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,24 @@ def test_streams(spark):
     assert ends == {1.0: 3.0, 4.0: 6.5}
 
 
+def test_equal_sets_are_rendered_once(monkeypatch):
+    """Sets that differ in palette, place or pixels are told apart, wherever batches end."""
+    dim = [(1, 100, 128, 128, 255)]
+    kinds = [pgs.encode_set(1.0, bar()), pgs.encode_set(2.0, bar(), cropped=True), pgs.encode_set(1.0, bar(), palette=dim), pgs.encode_set(1.0, bar(12, 41)), pgs.encode_set(3.0, None), pgs.encode_set(1.0, bar(), x=5)]
+    want = [[(pts, shown and (shown[0].tolist(), *shown[1:])) for pts, shown in pgs.display_sets(k)] for k in kinds]
+    encode, coded = png.encode, []
+    monkeypatch.setattr(png, "encode", lambda image: coded.append(1) or encode(image))
+    monkeypatch.setattr(pgs, "BATCH_ROWS", 4)
+    pgs._coded.cache_clear()
+    streams = pa.RecordBatch.from_arrays([pa.array(["a", "b", None]), pa.array([b"".join(kinds) * 20, None, kinds[2]], pa.binary())], ["file", "content"])
+    batches = list(pgs._scan(True)(iter([streams])))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert max(b.num_rows for b in batches) == 4 and [(r["file"], r["ord"]) for r in rows] == [("a", k) for k in range(120)] + [(None, 0)]
+    flat = [x for k in want for x in k] * 20 + want[2]
+    assert [(r["pts"], r["png"] and (png.decode(r["png"]).tolist(), r["content_width"], r["content_height"])) for r in rows] == flat
+    assert len(coded) == 4
+
+
 def test_palette_update():
     first = {1: (255, 1, 2, 3)}
     assert pgs.parse_palette(b"\0\0" + bytes([2, 16, 128, 128, 255]), first).keys() == {1, 2}
